@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, quality, simhash
+from siltstone.llm import chat, packing, quality, simhash
+from siltstone.llm.tokens import tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(_table(spark, sf_dir, "documents")).drop("failed_rule")
 
@@ -55,6 +60,7 @@ FROM sized GROUP BY conv_id
 """
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_quality_cascade": op3_quality_cascade,
     "op5_simhash": op5_simhash,
     "op10_chat_format": op10_chat_format,
