@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, packing, quality, simhash
+from siltstone.llm import chat, line_dedup, packing, quality, simhash, url_filter
 from siltstone.llm.tokens import tokenizer_path
 
 
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,6 +26,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(_table(spark, sf_dir, "documents")).drop("failed_rule")
 
@@ -25,6 +38,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), width=3, max_bits=3)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what is read back from the formatted conversations, and of conversation -7 among them."""
     extra = spark.sql(
@@ -44,6 +61,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP2_SQL = """
+WITH pages AS (
+  SELECT doc_id, coalesce(source, '') AS site, text, string_split(text, chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT doc_id, site, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''))) AS line FROM pages
+), totals AS (SELECT site, count(*) AS pages FROM pages GROUP BY site
+), often AS (
+  SELECT l.site, line FROM lines l JOIN totals t USING (site)
+  GROUP BY l.site, line, pages HAVING count(*) >= 5 AND count(*) > pages * CAST(0.02 AS DOUBLE)
+), drops AS (
+  SELECT site, list(line) AS found FROM often GROUP BY site
+), kept AS (
+  SELECT doc_id, text, lines, CASE WHEN found IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(found, trim(x))) END AS rest
+  FROM pages LEFT JOIN drops USING (site)
+)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(rest, chr(10)) END AS text,
+  coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(rest), 0) AS n_dropped
+FROM kept
+"""
+
 OP10_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -61,11 +98,14 @@ FROM sized GROUP BY conv_id
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_cascade": op3_quality_cascade,
     "op5_simhash": op5_simhash,
+    "op7_url_filter": op7_url_filter,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": OP2_SQL,
     "op10_chat_format": OP10_SQL,
 }
