@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, line_dedup, packing, quality, simhash, url_filter
+from siltstone.llm import chat, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
 from siltstone.llm.tokens import tokenizer_path
 
 
+#: Share of tokens of each domain (language) in the mix.
+MIX_TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
@@ -34,6 +36,12 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(_table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    mixed = mixing.mix(docs, _table(spark, sf_dir, "labels"), MIX_TARGETS)
+    return mixed.select("doc_id", "tokens", F.map_from_arrays("domains", "posterior").alias("posterior"), "rate", "copies")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), width=3, max_bits=3)
 
@@ -42,6 +50,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.flag_toxic(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what is read back from the formatted conversations, and of conversation -7 among them."""
     extra = spark.sql(
@@ -100,8 +113,10 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_cascade": op3_quality_cascade,
+    "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op7_url_filter": op7_url_filter,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
 
