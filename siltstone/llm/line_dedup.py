@@ -41,8 +41,10 @@ def dedup_lines(
     empty one has one line; rows without a site are a site of their own.
     Columns of ``docs`` named n_lines or n_dropped are replaced.
 
-    Lines are shuffled as hashes, partly aggregated; texts only for the join
-    with the lines found in them.
+    Lines are shuffled as hashes, partly aggregated.  A site has at most
+    (mean lines of its pages) / ratio boilerplate lines, so they are one row
+    per site; if all of them together are counted to be few, they are
+    broadcast and texts are not shuffled, else texts are joined by site.
     """
     work = Workspace(docs.sparkSession, "lines")
     text, key = F.col(text_col), F.coalesce(F.col(site).cast("string"), F.lit(""))
@@ -53,16 +55,23 @@ def dedup_lines(
     totals = _small(docs.groupBy(key.alias("site")).agg(F.count("*").alias("pages")))
     counted = lines.groupBy("site", "line").agg(F.count("*").alias("n"), F.min("page").alias("first")).where(F.col("n") >= min_pages)
     often = work.stage(counted.join(totals, "site").where(F.col("n") > F.col("pages") * ratio).select("site", "line", "first"), "often")
-    hits = lines.join(_small(often), ["site", "line"])
-    if keep_first:
-        hits = hits.where("page != first")
-    drops = work.stage(hits.groupBy("site", "page").agg(F.collect_set("line").alias("_drop")), "drops")
-    rows = docs.drop("n_lines", "n_dropped").withColumn("_site", key).withColumn("_page", page)
-    joined = rows.join(drops.select(F.col("site").alias("_site"), F.col("page").alias("_page"), "_drop"), ["_site", "_page"], "left")
-    kept = F.when(F.col("_drop").isNull(), split).otherwise(F.filter(split, lambda x: ~F.array_contains("_drop", _hashes(F.trim(x)))))
+    entry = F.struct("line", "first")
+    per_site = often.groupBy("site").agg(F.collect_list(entry).alias("_found"))
+    per_site = per_site.select(F.col("site").alias("_site"), "_found", F.transform("_found", lambda e: e["line"]["h1"]).alias("_h1"))
+    if often.count() <= BROADCAST_ROWS:
+        per_site = F.broadcast(per_site)
+    rows = docs.drop("n_lines", "n_dropped").withColumn("_site", key)
+    joined = rows.join(per_site, "_site", "left").withColumn("_page", page)
+
+    def dropped(line: Column) -> Column:
+        full = _hashes(F.trim(line))
+        same = F.exists("_found", lambda e: (e["line"] == full) & (e["first"] != F.col("_page")) if keep_first else e["line"] == full)
+        return F.array_contains("_h1", F.xxhash64(F.trim(line))) & same
+
+    kept = F.when(F.col("_found").isNull(), split).otherwise(F.filter(split, lambda x: ~dropped(x)))
     n = F.coalesce(F.size(split), F.lit(0))
     joined = joined.withColumn("_kept", kept).withColumn("n_lines", F.when(text.isNull(), 0).otherwise(n).cast("long"))
     joined = joined.withColumn("n_dropped", F.when(text.isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    return joined.withColumn(text_col, F.when(F.col("_drop").isNull(), text).otherwise(F.array_join("_kept", "\n"))).select(
+    return joined.withColumn(text_col, F.when(F.size("_kept") == F.size(split), text).otherwise(F.array_join("_kept", "\n"))).select(
         *[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped"
     )
