@@ -64,13 +64,16 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[p
         yield rest, np.array([0, rest.num_rows])
 
 
-def spanning_links(starts: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(
+    starts: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], matrix: Callable[[int, int], np.ndarray | None] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Links that keep together what ``near`` links inside each run: linear in the rows, however dense the run.
 
     ``near(i, j)`` tells for index arrays, elementwise, whether rows i and j
     link.  Small runs give each of their links; a larger run gives a spanning
     forest found by a search that compares each row with all rows not yet
-    reached.
+    reached.  ``matrix(a, b)``, if given, may tell at once for all pairs of
+    rows a to b, or give None.
     """
     sizes = np.diff(starts)
     left, right = [], []
@@ -87,12 +90,13 @@ def spanning_links(starts: np.ndarray, near: Callable[[np.ndarray, np.ndarray],
     for k in np.flatnonzero(sizes > SMALL_RUN):
         waiting = np.arange(starts[k] + 1, starts[k + 1])
         reached = [int(starts[k])]
+        known = matrix(int(starts[k]), int(starts[k + 1])) if matrix else None
         while len(waiting):
             if not reached:
                 reached, waiting = [int(waiting[0])], waiting[1:]
                 continue
             at = reached.pop()
-            hit = near(np.full(len(waiting), at), waiting)
+            hit = near(np.full(len(waiting), at), waiting) if known is None else known[at - starts[k], waiting - starts[k]]
             found = waiting[hit]
             left.append(np.full(len(found), at))
             right.append(found)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
+from siltstone.llm import chat, embed_dedup, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
 from siltstone.llm.tokens import tokenizer_path
 
 
@@ -50,6 +50,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.dedup_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.flag_toxic(docs, _table(spark, sf_dir, "labels")).drop("text")
@@ -116,6 +120,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op7_url_filter": op7_url_filter,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
