@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, embed_dedup, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
+from siltstone.llm import chat, embed_dedup, line_dedup, mixing, packing, quality, simhash, token_store, toxicity, url_filter
 from siltstone.llm.tokens import tokenizer_path
 
 
@@ -46,6 +46,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), width=3, max_bits=3)
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and CRC-32 of the ids that the store gives back; Spark's crc32 is that of zlib, unsigned."""
+    store = token_store.TokenStore.write(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return store.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -119,6 +125,7 @@ QUERIES = {
     "op3_quality_cascade": op3_quality_cascade,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op6_token_store": op6_token_store,
     "op7_url_filter": op7_url_filter,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
