@@ -1,10 +1,11 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memo of short pieces.
 
-A byte-pair tokenizer of the kinds used here splits a text into words first,
-and no word reaches across the point where a run of white space follows other
-text.  Texts are cut at those points, each distinct piece is encoded by the
-library once and kept in a bounded memo, and the ids are joined.  A text with
-white space other than the four usual characters is encoded as a whole.
+A byte-pair tokenizer of the kinds used here splits a text into words first.
+No word reaches across the point where white space follows other text, nor
+where one of ``.,;:!?`` follows a letter.  Texts are cut at those points, each
+distinct piece is encoded by the library once and kept in a bounded memo, and
+the ids are joined.  A text with white space other than the four usual
+characters is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from array import array
 from functools import lru_cache
 from itertools import islice
 
-_PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+_PIECE = re.compile(r"[ \n\t\r]*(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?=[.,;:!? \n\t\r])|[^ \n\t\r]+)|[ \n\t\r]+")
 #: White space beyond the usual four, and controls that some libraries count as such.
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2060\u3000\ufeff]")
 #: Longer pieces are encoded but not kept.
@@ -51,21 +52,28 @@ class Encoder:
         memo = self.memo
         if len(memo) > self.memo_entries:  # what came first is what comes often
             memo = self.memo = dict(islice(memo.items(), self.memo_entries * 2 // 3))
-        pieces = [None if _UNUSUAL.search(t) else _PIECE.findall(t) for t in texts]
-        new = list({p for each in pieces if each is not None for p in each if p not in memo})
-        extra = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, ids in zip(part, self._library(part), strict=True):
-                (memo if len(piece) <= PIECE_CHARS else extra)[piece] = ids
-        out = []
-        for text, each in zip(texts, pieces, strict=True):
-            if each is None:
+        out: list[bytes | None] = []
+        missing: list[tuple[int, list[bytes | None], list[tuple[int, str]]]] = []
+        for text in texts:
+            if _UNUSUAL.search(text):
                 out.append(self._library([text])[0])
-            elif extra:
-                out.append(b"".join([memo[p] if p in memo else extra[p] for p in each]))
+                continue
+            pieces = _PIECE.findall(text)
+            found = list(map(memo.get, pieces))
+            if None in found:
+                missing.append((len(out), found, [(k, pieces[k]) for k, ids in enumerate(found) if ids is None]))
+                out.append(None)
             else:
-                out.append(b"".join(map(memo.__getitem__, each)))
+                out.append(b"".join(found))
+        new = list({p for _, _, gaps in missing for _, p in gaps})
+        fresh: dict[str, bytes] = {}
+        for at in range(0, len(new), 4096):
+            fresh.update(zip(new[at : at + 4096], self._library(new[at : at + 4096]), strict=True))
+        memo.update((p, ids) for p, ids in fresh.items() if len(p) <= PIECE_CHARS)
+        for where, found, gaps in missing:
+            for k, p in gaps:
+                found[k] = fresh[p]
+            out[where] = b"".join(found)
         return out
 
 
