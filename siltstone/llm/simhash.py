@@ -137,3 +137,76 @@ def simhash_components(
     return prints.join(groups, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Signatures (64-bit fingerprints of the set of words) in which near duplicates are looked for, and words of the sketch they are verified by.
+SIGNATURES, SKETCH_WORDS = 4, 4
+_SIGNS = [f"u{k}" for k in range(SIGNATURES)]
+_SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
+
+
+def set_prints(text: bytes | None, width: int = 5) -> np.ndarray:
+    """SIGNATURES fingerprints of the set of words, then a sketch of SKETCH_WORDS * 64 bits of the set of ``width``-word shingles."""
+    tokens = words(text or b"")
+    if not tokens:
+        return np.zeros(SIGNATURES + SKETCH_WORDS, dtype="<u8")
+    digest = xxhash.xxh3_128_digest
+    out = []
+    for features, count, first in ((set(tokens), SIGNATURES, 100), (set(shingles(tokens, width)), SKETCH_WORDS, 200)):
+        for seed in range(first, first + count // 2):
+            hashes = np.frombuffer(b"".join([digest(x, seed) for x in features]), dtype=np.uint8).reshape(-1, 16)
+            out.append(majority(hashes).view("<u8"))
+    return np.concatenate(out)
+
+
+def sketch_bits(similarity: float) -> int:
+    """Differing sketch bits up to which sets of one size have an estimated Jaccard similarity of ``similarity`` or more."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(np.floor(np.arccos(cosine) / np.pi * 64 * SKETCH_WORDS))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the least id.
+
+    Candidates have a word-set signature within ``max_bits`` bits (found by
+    deletion variants in each of SIGNATURES independent signatures); a link is
+    a candidate pair whose ``width``-word shingle sketches estimate a Jaccard
+    similarity of ``similarity`` or more.  Groups are components of links.
+    Repeated rows, and texts equal but for case and white space, are
+    duplicates; null and empty texts and texts without words are duplicates of
+    each other.  A null id comes before all others.  Other columns are kept.
+    """
+    work = Workspace(docs.sparkSession, "near")
+    least = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_k")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = [least, F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2")]
+    names = [*_SIGNS, *_SKETCH]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([set_prints(x.as_py(), width) for x in batch.column(3)]).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, k]) for k in range(len(names)))], ["_k", "_t1", "_t2", *names])
+
+    schema = ", ".join(f"{c} long" for c in ["_k", "_t1", "_t2", *names])
+    prints = docs.select(*key, F.col(text_col).cast("binary").alias("text")).mapInArrow(each, schema)
+    classes = work.stage(prints.groupBy(*names).agg(F.min(F.struct("_k", "_t1", "_t2")).alias("first")), "classes")
+    classes = work.stage(classes.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    limit = sketch_bits(similarity)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in runs(batches, ["key", "b1", "b2"]):
+            ids = table["id"].to_numpy()
+            sketch = np.stack([table[c].to_numpy().view(np.uint64) for c in _SKETCH], axis=1)
+            i, j = spanning_links(starts, lambda i, j, s=sketch: np.bitwise_count(s[i] ^ s[j]).sum(axis=1) <= limit)
+            both = np.unique(np.stack([ids[i], ids[j]], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    signs = classes.select("id", F.posexplode(F.array(*_SIGNS)).alias("which", "fp"))
+    keyed = variants(signs, "fp", max_bits).select((F.col("key") * SIGNATURES + F.col("which")).alias("key"), "id")
+    rows = in_blocks(keyed, "key", "id", block).select("key", "b1", "b2", "id").join(classes.select("id", *_SKETCH), "id")
+    edges = work.stage(together(rows, "key").mapInArrow(links, "a long, b long").distinct(), "links")
+    roots = connected_components(edges, work).withColumnRenamed("node", "id")
+    grouped = classes.join(roots, "id", "left").groupBy(F.coalesce("component", "id").alias("root"))
+    winners = work.stage(grouped.agg(F.min("first").alias("f")).select("f.*"), "winners")
+    keep = ["_k", "_t1", "_t2"]
+    return docs.select("*", *key).join(winners, keep, "left_semi").dropDuplicates(keep).drop(*keep)
