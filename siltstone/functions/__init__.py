@@ -1,0 +1 @@
+"""Scalar codecs: bytes, log records, Bloom filters, sizes."""
