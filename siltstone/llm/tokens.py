@@ -10,18 +10,25 @@ characters is encoded as a whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
+
 _PIECE = re.compile(r"[ \n\t\r]*(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?=[.,;:!? \n\t\r])|[^ \n\t\r]+)|[ \n\t\r]+")
+#: A space and a word of Latin letters.
+_WORD = re.compile(r" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
 #: White space beyond the usual four, and controls that some libraries count as such.
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2060\u3000\ufeff]")
 #: Longer pieces are encoded but not kept.
 PIECE_CHARS = 48
 MEMO_ENTRIES = 500_000
+#: New words encoded in one call.
+WORDS_A_CALL = 512
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,12 +49,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        tokens = {i: t for t, i in self.tokenizer.get_vocab().items()}
+        names = [tokens.get(i, "") for i in range(max(tokens, default=-1) + 1)]
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends_word = np.array([t.endswith(suffix) for t in names]) if suffix else None
+        self.n_bytes = np.array([len(t) for t in names])  # a character of a byte-level vocabulary is a byte
         self.memo: dict[str, bytes] = {}
         self.memo_entries = memo_entries
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are one word each (:data:`_WORD`), many to a call.
+
+        Where a vocabulary marks ends of words, those tokens tell where the
+        ids of a piece end; else the bytes that tokens stand for do.
+        """
+        out: list[bytes] = []
+        for at in range(0, len(pieces), WORDS_A_CALL):
+            part = pieces[at : at + WORDS_A_CALL]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            if self.ends_word is not None:
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+            else:
+                reach, wanted = np.cumsum(self.n_bytes[ids]), np.cumsum([len(p.encode()) for p in part])
+                ends = np.searchsorted(reach, wanted) + 1
+                ends = ends if ends[-1] <= len(ids) and (reach[ends - 1] == wanted).all() else ends[:0]
+            if len(ends) != len(part):
+                out += self._library(part)
+                continue
+            raw, first = ids.tobytes(), 0
+            for end in (ends * 4).tolist():
+                out.append(raw[first:end])
+                first = end
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > self.memo_entries:  # what came first is what comes often
@@ -65,10 +102,11 @@ class Encoder:
                 out.append(None)
             else:
                 out.append(b"".join(found))
-        new = list({p for _, _, gaps in missing for _, p in gaps})
-        fresh: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            fresh.update(zip(new[at : at + 4096], self._library(new[at : at + 4096]), strict=True))
+        new = {p for _, _, gaps in missing for _, p in gaps}
+        plain = [p for p in new if _WORD.fullmatch(p)]
+        rest = list(new.difference(plain))
+        fresh = dict(zip(plain, self._words(plain), strict=True))
+        fresh.update(zip(rest, self._library(rest), strict=True))
         memo.update((p, ids) for p, ids in fresh.items() if len(p) <= PIECE_CHARS)
         for where, found, gaps in missing:
             for k, p in gaps:
