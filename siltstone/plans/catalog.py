@@ -6,13 +6,12 @@ of one key, an error event is a delete.  Runs are its eighths, run 0 newest.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import codec
 from siltstone.operators import bloom, files, merge, scan
+from siltstone.shared import scratch
 
 RUNS = 8
 PROBES = ["u000001", "u000007", "u000042", "u000077", "u000149", "u999999"]
@@ -419,7 +418,7 @@ def _(spark, sf_dir, rows):
     """The stored table end to end: four batches, a compaction, a scan."""
     from siltstone.table import Table
 
-    with Table.open(spark, tempfile.mkdtemp(prefix="silt-table-"), l0_trigger=3) as table:
+    with Table.open(spark, scratch(spark, "table"), l0_trigger=3) as table:
         bounds = rows.agg(F.percentile_approx("seq", [0.25, 0.5, 0.75])).first()[0]
         edges = [None, *bounds, None]
         for k in range(4):
