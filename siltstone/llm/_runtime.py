@@ -4,30 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_live: list[tuple[SparkSession, str]] = []
-
+from siltstone.shared import scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where it is unset (local tests), a temporary folder of our own is set as
-    the checkpoint directory of the session.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    sc.setCheckpointDir(own)
-    return own
+_live: list[tuple[SparkSession, str]] = []
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -49,7 +31,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/siltstone-{label}-{uuid.uuid4().hex}"
+        self.path = scratch(spark, label)
         _live.append((spark, self.path))
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
