@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm._runtime import Workspace
-from siltstone.llm.tokens import encoder
+from siltstone.llm.tokens import encoder, slices
 
 #: Pieces in a group, in the mean.
 GROUP_ITEMS = 4096
@@ -34,8 +34,6 @@ POPULATION = 4
 GENERATIONS = 12
 #: Emptiest bins of each group that the next round packs again.
 LOOSE_BINS = 4
-#: Texts encoded at a time.
-TEXTS = 128
 
 PIECES = "doc_id long, uid long, piece int, start long, length long, ids_crc32 long"
 
@@ -46,8 +44,8 @@ def piece_rows(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_c
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
+            for at, n in slices(whole.column(2)):
+                batch = whole.slice(at, n)
                 texts = [(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column(2)]
                 rows = []
                 for doc, uid, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), enc.encode(texts), strict=True):

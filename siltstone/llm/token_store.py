@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._runtime import Workspace, shared_dir
-from siltstone.llm.tokens import encoder
+from siltstone.llm._runtime import Workspace
+from siltstone.llm.tokens import encoder, slices
+from siltstone.shared import scratch
 
 #: Ids the rolling hash looks at, least and most ids of a chunk, and the mean distance of cuts.
 WINDOW, LEAST, MOST, MEAN = 16, 128, 2048, 512
-#: Texts encoded at a time.
-TEXTS = 128
+#: Documents in a batch that reading gives on.
+READ_DOCS = 128
 #: A chunk in more documents than both is joined by broadcast; at most HOT_PARTS such chunks can exist.
 HOT_DOCS, HOT_PARTS = 10_000, 5_000
 
@@ -92,8 +93,8 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: s
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
+            for at, n in slices(whole.column(1)):
+                batch = whole.slice(at, n)
                 each_ids = [x + end for x in enc.encode([(t.as_py() or b"").decode("utf-8", "replace") for t in batch.column(1)])]
                 ids = np.frombuffer(b"".join(each_ids), dtype="<u4")
                 raw, marks, begin = ids.astype(kind).tobytes(), cut_marks(ids), 0
@@ -149,7 +150,7 @@ class TokenStore:
         bytes for ids below 65,536, else 4.  Other columns are not read.
         """
         spark = docs.sparkSession
-        path = path or f"{shared_dir(spark)}/siltstone-tokens-{uuid.uuid4().hex}"
+        path = path or scratch(spark, "store")
         width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
         work = Workspace(spark, "tokens")
         staged = work.stage(_encoded(docs, tokenizer, end_id, width, id_col, text_col), "encoded")
@@ -243,7 +244,7 @@ class TokenStore:
                     key = (start, doc, copies, n, root)
                     parts.append(ids)
                     hashes.append(name)
-                    if len(done) >= TEXTS:
+                    if len(done) >= READ_DOCS:
                         yield batch_of(done)
                         done = []
             if key is not None:
