@@ -5,7 +5,8 @@ domains.  Document rates r >= floor are fitted so that the expected domain
 token totals A r, A[d, i] = tokens[i] * posterior[i, d], match targets b:
 projected gradient on the least squares |M^-1/2 (A r - b)|^2 with
 M = sum_i tokens[i] p_i p_i', in which a document's step is p_i . M^-1 (A r - b).
-Each step is one aggregation to as many numbers as there are domains.
+The sum goes over documents whose rate may still fall, as long as that lowers
+the residual, then over all.  Each step is one aggregation to a few numbers.
 """
 
 from __future__ import annotations
@@ -97,15 +98,18 @@ def memberships(docs: DataFrame, model: DomainModel, text_col: str) -> DataFrame
     def member(texts):
         import pandas as pd
 
-        words = [terms(t) for t in texts]
-        p = model.posterior(np.array([model.features(w) for w in words]).reshape(len(words), -1))
-        return pd.DataFrame({"tokens": [len(w) for w in words], "posterior": list(p)})
+        tokens, posterior = [], []
+        for text in texts:  # one text's words at a time
+            words = terms(text)
+            tokens.append(len(words))
+            posterior.append(model.posterior(model.features(words)))
+        return pd.DataFrame({"tokens": tokens, "posterior": posterior})
 
     return docs.withColumn("_m", member(F.col(text_col).cast("binary"))).select("*", "_m.tokens", "_m.posterior").drop("_m")
 
 
 def fit_rates(rows: DataFrame, targets: list[float], total: float | None = None, floor: float = 0.0, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
-    """Rates as an expression over ``tokens`` and ``posterior``, and the relative residual after each step.
+    """Rates as an expression over ``tokens`` and ``posterior``, and the falling relative residuals on the way.
 
     ``targets``: the share of each domain.  ``total``: tokens of the mix; None
     stands for those of the rows, or, with a positive floor, for the least
@@ -116,21 +120,34 @@ def fit_rates(rows: DataFrame, targets: list[float], total: float | None = None,
     weighted = F.col("tokens").cast("double")
     sums = rows.agg(F.coalesce(F.sum(weighted), F.lit(0.0)), *[F.coalesce(F.sum(weighted * a), F.lit(0.0)) for a in p], *[F.coalesce(F.sum(weighted * a * b), F.lit(0.0)) for a in p for b in p]).first()
     have, per = sums[0], np.array(sums[1 : d + 1])
-    inverse = np.linalg.pinv(np.array(sums[d + 1 :]).reshape(d, d) + np.eye(d) * 1e-9 * max(have, 1.0))
+    ridge = np.eye(d) * 1e-9 * max(have, 1.0)
+    every = np.array(sums[d + 1 :]).reshape(d, d)
     share = np.array(targets, dtype=float) / sum(targets)
     if total is None:
         total = have if floor <= 0 else floor * max([have, *(per[k] / share[k] for k in range(d) if share[k] > 0)])
     goal = share * total
     rate, residuals = F.lit(max(floor, total / have if have else 1.0)), []
+    best, free_metric = (float("inf"), rate, np.zeros(d), every), True
     for _ in range(max_steps if have else 0):
-        got = np.array(rows.agg(*[F.sum(weighted * a * rate) for a in p]).first())
-        residuals.append(float(np.linalg.norm(got - goal) / max(np.linalg.norm(goal), 1e-12)))
-        if residuals[-1] < tolerance or len(residuals) > 1 and abs(residuals[-2] - residuals[-1]) < tolerance:
+        above = F.when(rate > floor, weighted).otherwise(0.0)
+        row = rows.agg(*[F.sum(weighted * a * rate) for a in p], *[F.sum(above * a * b) for a in p for b in p]).first()
+        off = np.array(row[:d]) - goal
+        residual = float(np.linalg.norm(off) / max(np.linalg.norm(goal), 1e-12))
+        if residual < best[0]:
+            done = best[0] - residual < tolerance
+            best = (residual, rate, off, np.array(row[d:]).reshape(d, d))
+            residuals.append(residual)
+            if residual < tolerance or done:
+                break
+        elif free_metric:  # back to the best rates, and on with the metric of all rows
+            free_metric = False
+        else:
             break
-        y = inverse @ (got - goal)
+        _, rate, off, free = best
+        y = np.linalg.pinv((free if free_metric else every) + ridge) @ off
         move = sum((a * F.lit(float(v)) for a, v in zip(p, y, strict=True)), F.lit(0.0))
         rate = F.greatest(F.lit(float(floor)), rate - move)
-    return rate, residuals
+    return best[1] if residuals else rate, residuals
 
 
 def mix(
