@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,11 @@ def _clean() -> None:
             delete(spark, path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A few narrow rows that are about to become many, dealt over as many partitions as a shuffle has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 class Workspace:
     """A private folder below the shared one, for the intermediate tables of one call."""
 
@@ -42,3 +48,9 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         delete(self.spark, f"{self.path}/{name}")
+
+
+def release(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage, upon which Spark deletes shuffle files that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

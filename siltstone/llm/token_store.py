@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._runtime import Workspace
+from siltstone.llm._runtime import Workspace, release
 from siltstone.llm.tokens import encoder, slices
 from siltstone.shared import scratch
 
@@ -39,7 +39,7 @@ READ_DOCS = 128
 #: A chunk in more documents than both is joined by broadcast; at most HOT_PARTS such chunks can exist.
 HOT_DOCS, HOT_PARTS = 10_000, 5_000
 
-_GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, size=1 << 16, dtype=np.uint64)
+_GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, size=1 << 16, dtype=np.uint32)
 
 
 def digest(data: bytes) -> bytes:
@@ -60,16 +60,17 @@ def cut_marks(ids: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash of the last :data:`WINDOW` ids allows a cut.
 
     The hash of a window is the sum of each id's random number shifted by its
-    age; windows double, so it takes log2(WINDOW) passes.
+    age; windows double, so it takes log2(WINDOW) passes.  All ids of the
+    window reach the top bits, which decide.
     """
     h = _GEAR[ids & 0xFFFF]
     span = 1
     while span < WINDOW:
         older = np.zeros_like(h)
-        older[span:] = h[:-span] << np.uint64(span)
-        h = h + older
+        np.left_shift(h[:-span], np.uint32(span), out=older[span:])
+        h += older
         span *= 2
-    return np.flatnonzero((h >> np.uint64(WINDOW)) % np.uint64(MEAN) == 0) + 1
+    return np.flatnonzero(h < np.uint32((1 << 32) // MEAN)) + 1
 
 
 def chunk_ends(marks: np.ndarray, first: int, last: int) -> list[int]:
@@ -87,8 +88,10 @@ def chunk_ends(marks: np.ndarray, first: int, last: int) -> list[int]:
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_tokens, root, pos, hash, ids): the chunks of every row."""
+    """(doc_id, n_tokens, root, hashes, parts): every row with its chunks."""
     kind = np.dtype(f"<u{width}")
+    names = ["doc_id", "n_tokens", "root", "hashes", "parts"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
@@ -96,22 +99,21 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: s
             for at, n in slices(whole.column(1)):
                 batch = whole.slice(at, n)
                 each_ids = [x + end for x in enc.encode([(t.as_py() or b"").decode("utf-8", "replace") for t in batch.column(1)])]
+                lengths = [len(x) // 4 for x in each_ids]
                 ids = np.frombuffer(b"".join(each_ids), dtype="<u4")
+                del each_ids
                 raw, marks, begin = ids.astype(kind).tobytes(), cut_marks(ids), 0
                 rows = []
-                for doc, own in zip(batch.column(0).to_pylist(), each_ids, strict=True):
-                    last = begin + len(own) // 4
-                    bounds = [begin, *chunk_ends(marks, begin, last)]
+                for doc, length in zip(batch.column(0).to_pylist(), lengths, strict=True):
+                    bounds = [begin, *chunk_ends(marks, begin, begin + length)]
                     parts = [raw[a * width : b * width] for a, b in zip(bounds, bounds[1:], strict=False)]
                     hashes = [digest(p) for p in parts]
-                    root = merkle(hashes)
-                    rows += [(doc, last - begin, root, k, h, p) for k, (h, p) in enumerate(zip(hashes, parts, strict=True))]
-                    begin = last
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n_tokens", "root", "pos", "hash", "ids"])
+                    rows.append((doc, length, merkle(hashes), hashes, parts))
+                    begin += length
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, n_tokens long, root binary, pos int, hash binary, ids binary")
+    return rows.mapInArrow(each, "doc_id long, n_tokens long, root binary, hashes array<binary>, parts array<binary>")
 
 
 def _with_starts(recipes: DataFrame) -> DataFrame:
@@ -156,14 +158,14 @@ class TokenStore:
         staged = work.stage(_encoded(docs, tokenizer, end_id, width, id_col, text_col), "encoded")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"siltstone_chunks_{uuid.uuid4().hex}"
-        once = staged.select("hash", "ids").repartition(parts, "hash").dropDuplicates(["hash"])
+        chunk = F.explode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("parts").alias("ids"))).alias("c")
+        once = staged.select(chunk).select("c.hash", "c.ids").repartition(parts, "hash").dropDuplicates(["hash"])
         once.write.bucketBy(parts, "hash").option("path", f"{path}/chunks").option("compression", "zstd").saveAsTable(table)
-        # equal rows have equal (doc_id, root): each position then counts their number
-        grouped = staged.groupBy("doc_id", "root", "n_tokens", "pos", "hash").agg(F.count("*").alias("copies"))
-        grouped = grouped.groupBy("doc_id", "root", "n_tokens").agg(F.min("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("c"))
-        flat = grouped.select("doc_id", "root", "n_tokens", "copies", F.col("c.hash").alias("chunks"))
+        del once
+        flat = staged.groupBy("doc_id", "root").agg(F.first("n_tokens").alias("n_tokens"), F.count("*").alias("copies"), F.first("hashes").alias("chunks"))
         ordered = work.stage(flat.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "ordered")
         work.drop("encoded")
+        release(spark)
         full = _with_starts(ordered).select("part", "doc_id", "copies", "start", "n_tokens", "root", "chunks")
         full.repartitionByRange(parts, "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
         store = cls(spark, path, width, table)

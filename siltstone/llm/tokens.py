@@ -29,9 +29,9 @@ _WORD = re.compile(r" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2060\u3000\ufeff]")
 #: Longer pieces are encoded but not kept.
 PIECE_CHARS = 48
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 500_000
 #: Bytes of text encoded at a time; a longer text is encoded alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: New words encoded in one call.
 WORDS_A_CALL = 512
 
