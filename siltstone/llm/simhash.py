@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm._blocks import in_blocks, runs, spanning_links, together
 from siltstone.llm._components import connected_components
-from siltstone.llm._runtime import Workspace
+from siltstone.llm._runtime import Workspace, spread
 
 #: Seed of the XXH64 of a shingle.
 SEED = 42
@@ -72,8 +72,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the fewest segments of which one differs in at most one bit."""
-    count = max_bits // 2 + 1
+    """(first bit, bits) of the fewest segments, two at least, of which one differs in at most one bit."""
+    count = max(2, max_bits // 2 + 1)
     edges = [64 * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -88,7 +88,7 @@ def variants(prints: DataFrame, fp: str, max_bits: int) -> DataFrame:
     column = F.col(fp)
     keys = []
     for first, bits in segments(max_bits):
-        segment = F.shiftrightunsigned(column, first).bitwiseAND(F.lit((1 << bits) - 1)) if bits < 64 else column
+        segment = F.shiftrightunsigned(column, first).bitwiseAND(F.lit((1 << bits) - 1))
         keys += [
             F.shiftleft(segment.bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << i))), 6).bitwiseOR(F.lit(first + i).cast("long")) for i in range(bits)
         ]
@@ -109,7 +109,7 @@ def fingerprint_links(prints: DataFrame, max_bits: int, block: int = BLOCK) -> D
             both = np.unique(np.stack([fp[i].view(np.int64), fp[j].view(np.int64)], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    rows = in_blocks(variants(prints.select("fp"), "fp", max_bits), "key", "fp", block)
+    rows = in_blocks(variants(spread(prints.select("fp")), "fp", max_bits), "key", "fp", block)
     return together(rows.select("key", "b1", "b2", "fp"), "key").mapInArrow(each, "a long, b long")
 
 
@@ -201,7 +201,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int =
             both = np.unique(np.stack([ids[i], ids[j]], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    signs = classes.select("id", F.posexplode(F.array(*_SIGNS)).alias("which", "fp"))
+    signs = spread(classes.select("id", *_SIGNS)).select("id", F.posexplode(F.array(*_SIGNS)).alias("which", "fp"))
     keyed = variants(signs, "fp", max_bits).select((F.col("key") * SIGNATURES + F.col("which")).alias("key"), "id")
     rows = in_blocks(keyed, "key", "id", block).select("key", "b1", "b2", "id").join(classes.select("id", *_SKETCH), "id")
     edges = work.stage(together(rows, "key").mapInArrow(links, "a long, b long").distinct(), "links")
