@@ -25,8 +25,8 @@ from siltstone.llm._runtime import Workspace
 
 #: Labelled rows fitted on, at most, and terms that are features: the bounds of what reaches the driver.
 SAMPLE_ROWS, MAX_TERMS = 3000, 400
-#: Steps at most, and relative residual (or its change) at which they end.
-MAX_STEPS, TOLERANCE = 25, 1e-7
+#: Steps at most, relative residual at which they end, and fall of it below which they end.
+MAX_STEPS, TOLERANCE, LEAST_GAIN = 25, 1e-7, 1e-4
 
 
 @dataclass(frozen=True)
@@ -84,10 +84,11 @@ def train_domains(labels: DataFrame, docs: DataFrame, domain_col: str, work: Wor
             rows = [model.features(terms(t.as_py())) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32())), batch.column(1)], ["x", "domain"])
 
-    rows = keep.mapInArrow(features, "x array<float>, domain string").collect()
-    if not rows:
+    rows = keep.mapInArrow(features, "x array<float>, domain string").toArrow()
+    if not rows.num_rows:
         return DomainModel(domains, {}, np.zeros((1, 1)))
-    x, y = np.array([r["x"] for r in rows], dtype=np.float64), np.array([domains.index(r["domain"]) for r in rows])
+    x = rows["x"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(rows.num_rows, -1)
+    y = np.array([domains.index(d) for d in rows["domain"].to_pylist()])
     return DomainModel(domains, model.index, fit_softmax(x, y, len(domains)))
 
 
@@ -129,12 +130,14 @@ def fit_rates(rows: DataFrame, targets: list[float], total: float | None = None,
     rate, residuals = F.lit(max(floor, total / have if have else 1.0)), []
     best, free_metric = (float("inf"), rate, np.zeros(d), every), True
     for _ in range(max_steps if have else 0):
-        above = F.when(rate > floor, weighted).otherwise(0.0)
-        row = rows.agg(*[F.sum(weighted * a * rate) for a in p], *[F.sum(above * a * b) for a in p for b in p]).first()
+        # the rate is a column of its own, so that its growing expression stands in the plan once
+        with_rate = rows.select("tokens", "posterior", rate.alias("_rate"))
+        above = F.when(F.col("_rate") > floor, weighted).otherwise(0.0)
+        row = with_rate.agg(*[F.sum(weighted * a * F.col("_rate")) for a in p], *[F.sum(above * a * b) for a in p for b in p]).first()
         off = np.array(row[:d]) - goal
         residual = float(np.linalg.norm(off) / max(np.linalg.norm(goal), 1e-12))
         if residual < best[0]:
-            done = best[0] - residual < tolerance
+            done = best[0] - residual < LEAST_GAIN
             best = (residual, rate, off, np.array(row[d:]).reshape(d, d))
             residuals.append(residual)
             if residual < tolerance or done:
