@@ -210,7 +210,7 @@ class TokenStore:
         """(doc_id, start, n_tokens, ids: little-endian unsigned 32-bit numbers) of every document, put together again.
 
         Chunks stay where they are: they are bucketed by hash, and the recipes
-        come to them.  A chunk that very many documents hold is broadcast
+        come to them and are hashed, so chunks are neither shuffled nor sorted.  A chunk that very many documents hold is broadcast
         instead.  Raises where a hash or a root does not fit.
         """
         refs = self.recipes.select("doc_id", "copies", "start", "n_tokens", "root", F.posexplode("chunks").alias("pos", "hash"))
@@ -218,7 +218,7 @@ class TokenStore:
         total = refs.count()
         hot = refs.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_DOCS, total // HOT_PARTS)).select("hash")
         hot_chunks = F.broadcast(chunks.join(F.broadcast(hot), "hash", "left_semi"))
-        usual = refs.join(F.broadcast(hot), "hash", "left_anti").join(chunks.hint("merge"), "hash")
+        usual = refs.join(F.broadcast(hot), "hash", "left_anti").hint("shuffle_hash").join(chunks, "hash")
         rows = usual.unionByName(refs.join(hot_chunks, "hash")).select("start", "doc_id", "copies", "n_tokens", "root", "pos", "hash", "ids")
         kind = np.dtype(f"<u{self.width}")
 

@@ -23,13 +23,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _PIECE = re.compile(r"[ \n\t\r]*(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?=[.,;:!? \n\t\r])|[^ \n\t\r]+)|[ \n\t\r]+")
-#: A space and a word of Latin letters.
-_WORD = re.compile(r" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
 #: White space beyond the usual four, and controls that some libraries count as such.
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2060\u3000\ufeff]")
 #: Longer pieces are encoded but not kept.
 PIECE_CHARS = 48
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 800_000
 #: Bytes of text encoded at a time; a longer text is encoded alone.
 SLICE_BYTES = 4 << 20
 #: New words encoded in one call.
@@ -66,7 +64,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that are one word each (:data:`_WORD`), many to a call.
+        """Ids of pieces that are a space and letters each, many to a call.
 
         Where a vocabulary marks ends of words, those tokens tell where the
         ids of a piece end; else the bytes that tokens stand for do.
@@ -97,12 +95,18 @@ class Encoder:
             memo = self.memo = dict(islice(memo.items(), self.memo_entries * 2 // 3))
         found = list(map(memo.get, pieces))
         gaps = [k for k, ids in enumerate(found) if ids is None]
-        plain = [k for k in gaps if _WORD.fullmatch(pieces[k])]
-        other = sorted(set(gaps).difference(plain))
-        for some, encode in ((plain, self._words), (other, self._library)):
-            for k, ids in zip(some, encode([pieces[k] for k in some]), strict=True):
-                found[k] = ids
-        memo.update((pieces[k], found[k]) for k in gaps if len(pieces[k]) <= PIECE_CHARS)
+        names = [pieces[k] for k in gaps]
+        plain = [p for p in names if p[:1] == " " and p[1:].isalpha()]
+        done = set(plain)
+        other = [p for p in names if p not in done]
+        fresh = dict(zip(plain, self._words(plain), strict=True))
+        fresh.update(zip(other, self._library(other), strict=True))
+        for k, p in zip(gaps, names, strict=True):
+            found[k] = fresh[p]
+        memo.update(fresh)
+        for p in names:
+            if len(p) > PIECE_CHARS:
+                del memo[p]
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
