@@ -139,24 +139,47 @@ def simhash_components(
     )
 
 
-#: Signatures (64-bit fingerprints of the set of words) in which near duplicates are looked for, and words of the sketch they are verified by.
-SIGNATURES, SKETCH_WORDS = 4, 4
-_SIGNS = [f"u{k}" for k in range(SIGNATURES)]
+#: Bands of BAND_ROWS MinHash values in which near duplicates are looked for: a pair of Jaccard similarity 0.8 shares one but for 3e-6.
+BANDS, BAND_ROWS = 32, 5
+#: Words of the sketch that candidates are compared by.
+SKETCH_WORDS = 4
 _SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, size=2 * BANDS * BAND_ROWS + SKETCH_WORDS, dtype=np.uint64)
+_ADD, _ODD, _SALT = _DRAWN[: BANDS * BAND_ROWS], _DRAWN[BANDS * BAND_ROWS : -SKETCH_WORDS] | np.uint64(1), _DRAWN[-SKETCH_WORDS:]
 
 
-def set_prints(text: bytes | None, width: int = 5) -> np.ndarray:
-    """SIGNATURES fingerprints of the set of words, then a sketch of SKETCH_WORDS * 64 bits of the set of ``width``-word shingles."""
-    tokens = words(text or b"")
-    if not tokens:
-        return np.zeros(SIGNATURES + SKETCH_WORDS, dtype="<u8")
-    digest = xxhash.xxh3_128_digest
-    out = []
-    for features, count, first in ((set(tokens), SIGNATURES, 100), (set(shingles(tokens, width)), SKETCH_WORDS, 200)):
-        for seed in range(first, first + count // 2):
-            hashes = np.frombuffer(b"".join([digest(x, seed) for x in features]), dtype=np.uint8).reshape(-1, 16)
-            out.append(majority(hashes).view("<u8"))
-    return np.concatenate(out)
+def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
+    """Ascending distinct 64-bit hashes of the ``width``-word shingles of a text."""
+    parts = shingles(words(text or b""), width)
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(x, SEED) for x in parts), dtype=np.uint64, count=len(parts)))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers in which every bit depends on every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """Signed keys of the BANDS bands of a set; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        found = _mixed((hashes[at : at + 1024, None] + _ADD) * _ODD)
+        np.minimum(least, found.min(axis=0), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    keys = np.array([xxhash.xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], dtype=np.uint64)
+    return keys.view(np.int64).tolist()
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of a set in SKETCH_WORDS * 64 bits, as SKETCH_WORDS signed numbers."""
+    if not len(hashes):
+        return np.zeros(SKETCH_WORDS, dtype=np.int64)
+    return majority(_mixed(hashes[:, None] ^ _SALT).view(np.uint8).reshape(len(hashes), -1)).view(np.int64)
 
 
 def sketch_bits(similarity: float) -> int:
@@ -165,46 +188,62 @@ def sketch_bits(similarity: float) -> int:
     return int(np.floor(np.arccos(cosine) / np.pi * 64 * SKETCH_WORDS))
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, block: int = BLOCK) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that with the least id.
-
-    Candidates have a word-set signature within ``max_bits`` bits (found by
-    deletion variants in each of SIGNATURES independent signatures); a link is
-    a candidate pair whose ``width``-word shingle sketches estimate a Jaccard
-    similarity of ``similarity`` or more.  Groups are components of links.
-    Repeated rows, and texts equal but for case and white space, are
-    duplicates; null and empty texts and texts without words are duplicates of
-    each other.  A null id comes before all others.  Other columns are kept.
-    """
-    work = Workspace(docs.sparkSession, "near")
-    least = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_k")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = [least, F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2")]
-    names = [*_SIGNS, *_SKETCH]
+def near_classes(docs: DataFrame, key: list, text_col: str, width: int) -> DataFrame:
+    """(c1, c2, first, size, bands, sketch words) of each distinct shingle set; ``first`` is the least ``key`` with it."""
+    schema = "_k long, _t1 long, _t2 long, c1 long, c2 long, size int, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
+    names = ["_k", "_t1", "_t2", "c1", "c2", "size", "bands", *_SKETCH]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([set_prints(x.as_py(), width) for x in batch.column(3)]).reshape(-1, len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, k]) for k in range(len(names)))], ["_k", "_t1", "_t2", *names])
+            whole, sizes, keys = np.empty((batch.num_rows, 2), np.int64), np.empty(batch.num_rows, np.int32), []
+            found = np.empty((batch.num_rows, SKETCH_WORDS), np.int64)
+            for k, x in enumerate(batch.column(3)):
+                hashes = shingle_set(x.as_py(), width)
+                whole[k] = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), dtype=np.int64)
+                sizes[k], found[k] = len(hashes), sketch(hashes)
+                keys.append(bands(hashes))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), *(pa.array(found[:, k]) for k in range(SKETCH_WORDS))], names
+            )
 
-    schema = ", ".join(f"{c} long" for c in ["_k", "_t1", "_t2", *names])
     prints = docs.select(*key, F.col(text_col).cast("binary").alias("text")).mapInArrow(each, schema)
-    classes = work.stage(prints.groupBy(*names).agg(F.min(F.struct("_k", "_t1", "_t2")).alias("first")), "classes")
-    classes = work.stage(classes.withColumn("id", F.monotonically_increasing_id()), "numbered")
-    limit = sketch_bits(similarity)
+    first = F.min(F.struct("_k", "_t1", "_t2")).alias("first")
+    return prints.groupBy("c1", "c2").agg(first, *[F.first(c).alias(c) for c in ("size", "bands", *_SKETCH)])
+
+
+def near_links(classes: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of ids of ``classes`` that span, in each bucket of a band, what sketches of ``limit`` bits or fewer apart link."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in runs(batches, ["key", "b1", "b2"]):
             ids = table["id"].to_numpy()
-            sketch = np.stack([table[c].to_numpy().view(np.uint64) for c in _SKETCH], axis=1)
-            i, j = spanning_links(starts, lambda i, j, s=sketch: np.bitwise_count(s[i] ^ s[j]).sum(axis=1) <= limit)
+            words = np.stack([table[c].to_numpy().view(np.uint64) for c in _SKETCH], axis=1)
+            i, j = spanning_links(starts, lambda i, j, s=words: np.bitwise_count(s[i] ^ s[j]).sum(axis=1) <= limit)
             both = np.unique(np.stack([ids[i], ids[j]], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    signs = spread(classes.select("id", *_SIGNS)).select("id", F.posexplode(F.array(*_SIGNS)).alias("which", "fp"))
-    keyed = variants(signs, "fp", max_bits).select((F.col("key") * SIGNATURES + F.col("which")).alias("key"), "id")
+    keyed = spread(classes.select("id", "bands")).select("id", F.explode("bands").alias("key"))
     rows = in_blocks(keyed, "key", "id", block).select("key", "b1", "b2", "id").join(classes.select("id", *_SKETCH), "id")
-    edges = work.stage(together(rows, "key").mapInArrow(links, "a long, b long").distinct(), "links")
+    return together(rows, "key").mapInArrow(links, "a long, b long").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the least id.
+
+    Candidates share a band of MinHash values of their sets of ``width``-word
+    shingles; a link is a candidate pair whose sketches of those sets estimate
+    a Jaccard similarity of ``similarity`` or more.  Groups are components of
+    links.  Repeated rows, and texts equal but for case and white space, are
+    duplicates; null and empty texts and texts without words are duplicates of
+    each other.  A null id comes before all others.  Other columns are kept.
+    """
+    work = Workspace(docs.sparkSession, "near")
+    least = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_k")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = [least, F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2")]
+    classes = work.stage(near_classes(docs, key, text_col, width), "classes")
+    classes = work.stage(classes.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    edges = work.stage(near_links(classes, sketch_bits(similarity), block), "links")
     roots = connected_components(edges, work).withColumnRenamed("node", "id")
     grouped = classes.join(roots, "id", "left").groupBy(F.coalesce("component", "id").alias("root"))
     winners = work.stage(grouped.agg(F.min("first").alias("f")).select("f.*"), "winners")

@@ -96,3 +96,33 @@ def test_near_duplicates_by_five_words(spark):
     assert set(range(30)) | set(range(200, 212)) | {401, None} <= set(kept)
     assert len([k for k in kept if k is not None and 100 <= k < 112]) <= 1 and 400 not in kept and 402 not in kept
     assert simhash.drop_near_duplicates(docs.limit(0)).columns == docs.columns
+
+
+def jaccard(a, b, width=5):
+    sets = [{tuple(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def contiguous_edits():
+    """(base, edited) texts: a passage added at the end or cut at the start or the middle, or scattered words changed."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    out = []
+    for k in range(240):
+        n = int(rng.integers(100, 900))
+        base = list(rng.choice(vocabulary, n))
+        part = int(n * rng.uniform(0.04, 0.19))
+        at = int(rng.integers(0, n - part))
+        edited = [base + list(rng.choice(vocabulary, part)), base[part:], base[:at] + base[at + part :], list(base)][k % 4]
+        if k % 4 == 3:
+            for i in rng.choice(n, max(1, part // 8), replace=False):
+                edited[i] = "changed"
+        out.append((" ".join(base), " ".join(edited)))
+    return [p for p in out if jaccard(*p) >= 0.8]
+
+
+def test_candidates_hold_every_contiguous_edit(spark):
+    pairs = contiguous_edits()
+    assert len(pairs) > 180 and sum(jaccard(*p) < 0.9 for p in pairs) > 60
+    shared = [set(simhash.bands(simhash.shingle_set(a.encode()))) & set(simhash.bands(simhash.shingle_set(b.encode()))) for a, b in pairs]
+    assert all(shared)
