@@ -141,8 +141,10 @@ def simhash_components(
 
 #: Bands of BAND_ROWS MinHash values in which near duplicates are looked for: a pair of Jaccard similarity 0.8 shares one but for 3e-6.
 BANDS, BAND_ROWS = 32, 5
-#: Words of the sketch that candidates are compared by.
-SKETCH_WORDS = 4
+#: Words of the sketch that rules pairs out before their sets are compared, and size below which a set counts as small for it.
+SKETCH_WORDS, SMALL_SET = 4, 64
+#: Members of a group of candidates whose sets one unit of work holds at most, twice over.
+SET_BLOCK = 512
 _SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, size=2 * BANDS * BAND_ROWS + SKETCH_WORDS, dtype=np.uint64)
 _ADD, _ODD, _SALT = _DRAWN[: BANDS * BAND_ROWS], _DRAWN[BANDS * BAND_ROWS : -SKETCH_WORDS] | np.uint64(1), _DRAWN[-SKETCH_WORDS:]
@@ -167,8 +169,8 @@ def bands(hashes: np.ndarray) -> list[int]:
     if not len(hashes):
         return []
     least = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1024):
-        found = _mixed((hashes[at : at + 1024, None] + _ADD) * _ODD)
+    for at in range(0, len(hashes), 256):
+        found = _mixed((hashes[at : at + 256, None] + _ADD) * _ODD)
         np.minimum(least, found.min(axis=0), out=least)
     rows = least.reshape(BANDS, BAND_ROWS)
     keys = np.array([xxhash.xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], dtype=np.uint64)
@@ -182,10 +184,31 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return majority(_mixed(hashes[:, None] ^ _SALT).view(np.uint8).reshape(len(hashes), -1)).view(np.int64)
 
 
-def sketch_bits(similarity: float) -> int:
-    """Differing sketch bits up to which sets of one size have an estimated Jaccard similarity of ``similarity`` or more."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(np.floor(np.arccos(cosine) / np.pi * 64 * SKETCH_WORDS))
+def sketch_bits(similarity: float) -> tuple[int, int]:
+    """Differing sketch bits that sets of a Jaccard similarity of ``similarity`` or more do not exceed but for about one pair in a million.
+
+    That is five standard deviations above the mean, of large sets (in which
+    sets of one size differ most) and of sets below SMALL_SET, in which ties
+    of the majority add to it.
+    """
+    n, share = 64 * SKETCH_WORDS, np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    return tuple(int(np.ceil(n * p + 5 * np.sqrt(n * p * (1 - p)))) for p in (share, min(0.5, share + 0.05)))
+
+
+def similar_sets(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as ascending distinct numbers, have a Jaccard similarity of ``similarity`` or more."""
+    both = np.concatenate((x, y))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(both) - common) - 1e-9
+
+
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of a few rows, so that what is made of a piece stays small beside the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def near_classes(docs: DataFrame, key: list, text_col: str, width: int) -> DataFrame:
@@ -194,7 +217,7 @@ def near_classes(docs: DataFrame, key: list, text_col: str, width: int) -> DataF
     names = ["_k", "_t1", "_t2", "c1", "c2", "size", "bands", *_SKETCH]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             whole, sizes, keys = np.empty((batch.num_rows, 2), np.int64), np.empty(batch.num_rows, np.int32), []
             found = np.empty((batch.num_rows, SKETCH_WORDS), np.int64)
             for k, x in enumerate(batch.column(3)):
@@ -211,28 +234,82 @@ def near_classes(docs: DataFrame, key: list, text_col: str, width: int) -> DataF
     return prints.groupBy("c1", "c2").agg(first, *[F.first(c).alias(c) for c in ("size", "bands", *_SKETCH)])
 
 
-def near_links(classes: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of ids of ``classes`` that span, in each bucket of a band, what sketches of ``limit`` bits or fewer apart link."""
+def _maybe(table: pa.Table, similarity: float):
+    """A function of index arrays: which pairs of rows may be similar, by sizes and sketches."""
+    large, small = sketch_bits(similarity)
+    size = table["size"].to_numpy()
+    words = np.stack([table[c].to_numpy().view(np.uint64) for c in _SKETCH], axis=1)
+
+    def maybe(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        bits = np.bitwise_count(words[i] ^ words[j]).sum(axis=1)
+        return (low >= similarity * high - 1e-9) & (bits <= np.where(low < SMALL_SET, small, large))
+
+    return maybe
+
+
+def _pairs(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([ids[i], ids[j]], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
+def near_links(classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of ids of ``classes`` that span, in each bucket of a band, what may be similar by sizes and sketches."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in runs(batches, ["key", "b1", "b2"]):
-            ids = table["id"].to_numpy()
-            words = np.stack([table[c].to_numpy().view(np.uint64) for c in _SKETCH], axis=1)
-            i, j = spanning_links(starts, lambda i, j, s=words: np.bitwise_count(s[i] ^ s[j]).sum(axis=1) <= limit)
-            both = np.unique(np.stack([ids[i], ids[j]], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            yield _pairs(table["id"].to_numpy(), *spanning_links(starts, _maybe(table, similarity)))
 
     keyed = spread(classes.select("id", "bands")).select("id", F.explode("bands").alias("key"))
-    rows = in_blocks(keyed, "key", "id", block).select("key", "b1", "b2", "id").join(classes.select("id", *_SKETCH), "id")
+    rows = in_blocks(keyed, "key", "id", block).select("key", "b1", "b2", "id").join(classes.select("id", "size", *_SKETCH), "id")
     return together(rows, "key").mapInArrow(links, "a long, b long").distinct()
 
 
+def exact_links(members: DataFrame, sets: DataFrame, similarity: float, block: int = SET_BLOCK) -> DataFrame:
+    """Links (a, b) that span, in each ``component`` of ``members``, all pairs of sets of ``similarity`` or more.
+
+    ``members`` is (component, id), ``sets`` (id, size, sketch words, hashes).
+    Every pair of a component is decided, by its sets unless sizes or sketches rule it out.
+    """
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in runs(_few(batches), ["component", "b1", "b2"]):
+            maybe = _maybe(table, similarity)
+            hashes = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["hashes"]]
+
+            def near(i: np.ndarray, j: np.ndarray, maybe=maybe, hashes=hashes) -> np.ndarray:
+                hit = maybe(i, j)
+                at = np.flatnonzero(hit)
+                hit[at] = [similar_sets(hashes[x], hashes[y], similarity) for x, y in zip(i[at], j[at], strict=True)]
+                return hit
+
+            yield _pairs(table["id"].to_numpy(), *spanning_links(starts, near))
+
+    rows = in_blocks(members.select("component", "id"), "component", "id", block).select("component", "b1", "b2", "id").join(sets, "id")
+    return together(rows, "component").mapInArrow(links, "a long, b long").distinct()
+
+
+def shingle_sets(docs: DataFrame, key: list, text_col: str, width: int, members: DataFrame) -> DataFrame:
+    """``members`` (_k, _t1, _t2 of their text in ``docs``, id and more) once each with ``hashes``, the bytes of their shingle set."""
+    names = [c for c in members.columns if c not in ("_k", "_t1", "_t2")]
+    rows = docs.select(*key, F.col(text_col).cast("binary").alias("text")).join(members, ["_k", "_t1", "_t2"]).select("text", *names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + ", hashes binary"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            found = [shingle_set(x.as_py(), width).tobytes() for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], [*names, "hashes"])
+
+    return rows.mapInArrow(each, schema).dropDuplicates(["id"])
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the least id.
 
     Candidates share a band of MinHash values of their sets of ``width``-word
-    shingles; a link is a candidate pair whose sketches of those sets estimate
-    a Jaccard similarity of ``similarity`` or more.  Groups are components of
+    shingles and are not ruled out by sizes or sketches.  In each component
+    of candidates the sets of every pair not ruled out are compared; a link is a pair with a
+    Jaccard similarity of ``similarity`` or more.  Groups are components of
     links.  Repeated rows, and texts equal but for case and white space, are
     duplicates; null and empty texts and texts without words are duplicates of
     each other.  A null id comes before all others.  Other columns are kept.
@@ -243,7 +320,12 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int =
     key = [least, F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2")]
     classes = work.stage(near_classes(docs, key, text_col, width), "classes")
     classes = work.stage(classes.withColumn("id", F.monotonically_increasing_id()), "numbered")
-    edges = work.stage(near_links(classes, sketch_bits(similarity), block), "links")
+    maybe = work.stage(near_links(classes, similarity, block), "candidates")
+    groups = connected_components(maybe, work, "groups").withColumnRenamed("node", "id")
+    members = work.stage(classes.join(groups, "id").select("first.*", "id", "component", "size", *_SKETCH), "members")
+    sets = work.stage(shingle_sets(docs, key, text_col, width, members.drop("component")), "sets")
+    edges = work.stage(exact_links(members, sets, similarity, min(block, SET_BLOCK)), "links")
+    work.drop("sets")
     roots = connected_components(edges, work).withColumnRenamed("node", "id")
     grouped = classes.join(roots, "id", "left").groupBy(F.coalesce("component", "id").alias("root"))
     winners = work.stage(grouped.agg(F.min("first").alias("f")).select("f.*"), "winners")

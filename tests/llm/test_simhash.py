@@ -126,3 +126,29 @@ def test_candidates_hold_every_contiguous_edit(spark):
     assert len(pairs) > 180 and sum(jaccard(*p) < 0.9 for p in pairs) > 60
     shared = [set(simhash.bands(simhash.shingle_set(a.encode()))) & set(simhash.bands(simhash.shingle_set(b.encode()))) for a, b in pairs]
     assert all(shared)
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_links_equal_brute_force(spark, block):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    texts = []
+    for _ in range(40):  # variants of one text on both sides of 0.8
+        base = list(rng.choice(vocabulary, int(rng.integers(20, 300))))
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 4, 5, 6, 7, 8):
+            near = list(base)
+            for at in rng.choice(len(base), min(changes, len(base) // 5), replace=False):
+                near[at] = "changed"
+            texts.append(" ".join(near))
+        texts.append(" ".join(base[: int(len(base) * 0.83)]))
+    texts += [p for pair in contiguous_edits()[:60] for p in pair]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [simhash.shingle_set(t.encode()) for t in texts]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, block=block).collect()}
+    parts = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    share = {(a, b): len(parts[a] & parts[b]) / len(parts[a] | parts[b]) for a in range(len(parts)) for b in range(a, len(parts))}
+    assert sum(0.7 <= s < 0.8 for s in share.values()) > 30 < sum(0.8 <= s < 0.87 for s in share.values())
+    assert all(simhash.similar_sets(sets[a], sets[b], 0.8) == (s >= 0.8) for (a, b), s in share.items() if s > 0.5)
+    roots = brute([p for p, s in share.items() if s >= 0.8])
+    assert kept == {k for k in range(len(texts)) if roots[k] == k}
