@@ -2,8 +2,9 @@
 
 Labelled rows get severity grades: 0 where the label is 0; where it is 1,
 grade 1, or 2 if it holds at least as many marker terms as the median of the
-toxic rows that hold any.  Marker terms stand out in toxic rows by a two-proportion
-test.  One weight per term is shared across the ordered thresholds::
+toxic rows that hold any.  Marker terms stand out in toxic rows by a binomial
+test that allows for the lengths of texts, counts near copies once and is
+corrected for the number of terms.  One weight per term is shared across the ordered thresholds::
 
     P(grade > k) = sigmoid(w . x - threshold[k]),  threshold[0] < threshold[1]
 
@@ -24,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._labelled import labelled_sample, term_table, terms
+from siltstone.llm._labelled import labelled_sample, terms
 from siltstone.llm._runtime import Workspace
+from siltstone.llm.simhash import bands, shingle_set, sketch, sketch_bits
 
 #: Labelled rows fitted on, at most: the bound of what reaches the driver.
 SAMPLE_ROWS = 8000
-#: Terms looked at, at most; least toxic rows a term is in, and share of them; least two-proportion z; least ratio of shares.
-MAX_TERMS, MIN_ROWS, MIN_SHARE, MIN_Z, MIN_LIFT = 2000, 5, 0.05, 4.0, 3.0
+#: Terms looked at, at most; chance that any term that tells nothing passes the test; least ratio of rates a word.
+MAX_TERMS, ALPHA, MIN_LIFT = 2000, 0.05, 3.0
 #: Expected severity from which a document is rejected.
 THRESHOLD = 0.5
 L1 = 2e-4
@@ -83,11 +85,72 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = L1, s
     return w / size, thresholds(t)
 
 
-def _by_term(counts: DataFrame) -> DataFrame:
-    """(term, toxic, n) to (term, n1, n0)."""
-    one = F.coalesce(F.sum(F.when(F.col("toxic") == "1", F.col("n"))), F.lit(0)).alias("n1")
-    zero = F.coalesce(F.sum(F.when(F.col("toxic") == "0", F.col("n"))), F.lit(0)).alias("n0")
-    return counts.groupBy("term").agg(one, zero)
+def _voters(sample: DataFrame) -> dict[int, int]:
+    """Row of ``sample`` (row, toxic, text) to the first row of its near copies of the same label; rows without any are left out."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py()) for x in batch.column(2)]
+            found = [pa.array([f(s) for s in sets], pa.list_(pa.int64())) for f in (bands, lambda s: sketch(s).tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found], ["row", "toxic", "bands", "sketch"])
+
+    found = sample.select("row", "toxic", "text").mapInArrow(each, "row long, toxic int, bands array<long>, sketch array<long>").orderBy("row").toArrow().to_pylist()
+    limit, first, parent = sketch_bits(0.8)[0], {}, {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    prints = {r["row"]: np.array(r["sketch"], dtype=np.int64).view(np.uint64) for r in found}
+    for r in found:
+        for key in r["bands"]:
+            other = first.setdefault((r["toxic"], key), r["row"])
+            if other != r["row"] and np.bitwise_count(prints[other] ^ prints[r["row"]]).sum() <= limit:
+                x, y = root(other), root(r["row"])
+                parent[max(x, y)] = min(x, y)
+    return {x: root(x) for x in parent}
+
+
+def _votes(sample: DataFrame, voter: dict[int, int]) -> DataFrame:
+    """(term, n1, n0): toxic and other rows of ``sample`` that hold the term, near copies as one."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                found = [t.decode("utf-8", "replace") for t in set(terms(text.as_py()))]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([kind] * len(found), pa.int32()), pa.array([voter.get(row, row)] * len(found), pa.int64())], ["term", "toxic", "vote"])
+
+    rows = sample.select("row", "toxic", "text").mapInArrow(each, "term string, toxic int, vote long").distinct()
+    return rows.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
+
+
+def _markers(table: DataFrame) -> list[bytes]:
+    """Terms of (term, n1, n0) that stand out in toxic rows, the surest first, MAX_TERMS at most.
+
+    A term that tells nothing is in a toxic row with the share q that toxic
+    rows have of all (row, term) pairs, whatever the lengths of texts.  The
+    probability of n1 or more of n such rows is exp(-n KL(n1 / n, q)) at most
+    (Chernoff); it is to be ALPHA or less over the number of terms in so many
+    rows that they can pass at all (Tarone).
+    """
+    sizes = {r["n"]: (r["terms"], r["n1"]) for r in table.groupBy((F.col("n1") + F.col("n0")).alias("n")).agg(F.count("*").alias("terms"), F.sum("n1").alias("n1")).collect()}
+    pairs, toxic = sum(n * c for n, (c, _) in sizes.items()), sum(k for _, k in sizes.values())
+    if not 0 < toxic < pairs:
+        return []
+    q, tests = toxic / pairs, sum(c for c, _ in sizes.values())
+    for n in sorted(sizes):
+        if n * math.log(1 / q) >= math.log(tests / ALPHA):
+            break
+        tests -= sizes[n][0]
+    if not tests:
+        return []
+    n, p = F.col("n1") + F.col("n0"), F.col("n1") / (F.col("n1") + F.col("n0"))
+    rest = F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - p) / F.lit(1 - q))).otherwise(0.0)
+    lift = (F.col("n1") / F.lit(toxic)) / ((F.col("n0") + 1) / F.lit(pairs - toxic + 1))
+    found = table.where(F.col("n1") > n * F.lit(q)).select("term", (F.col("n1") * F.log(p / F.lit(q)) + rest).alias("gain"), lift.alias("lift"))
+    found = found.where((F.col("gain") >= math.log(tests / ALPHA)) & (F.col("lift") >= MIN_LIFT))
+    return [r["term"].encode() for r in found.orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect()]
 
 
 def train(labels: DataFrame, docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
@@ -98,19 +161,14 @@ def train(labels: DataFrame, docs: DataFrame, work: Workspace, id_col: str = "do
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("toxic"))
     drawn = labelled_sample(known, docs, sample_rows, id_col, text_col, ["toxic"])
-    sample = work.stage(drawn.dropDuplicates(["text"]), "sample")  # copies are no further evidence
+    sample = work.stage(drawn.dropDuplicates(["text"]).withColumn("row", F.monotonically_increasing_id()), "sample")  # copies are no further evidence
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 + n1:
         return OrdinalModel({}, (50.0, 51.0))
     chosen: list[bytes] = []
     if n0 and n1:
-        table = _by_term(term_table(sample, "toxic"))
-        p = (F.col("n0") + F.col("n1")) / F.lit(n0 + n1)
-        p0, p1 = (F.col("n0") + 1) / F.lit(n0 + 1), F.col("n1") / F.lit(n1)
-        z = (p1 - F.col("n0") / F.lit(n0)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * F.lit(1 / n0 + 1 / n1))
-        found = table.where((F.col("n1") >= MIN_ROWS) & (F.col("n1") >= MIN_SHARE * n1)).select("term", z.alias("z"), (p1 / p0).alias("lift")).where((F.col("z") >= MIN_Z) & (F.col("lift") >= MIN_LIFT))
-        chosen = [r["term"].encode() for r in found.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()]
+        chosen = _markers(work.stage(_votes(sample, _voters(sample)), "votes"))
     index = {t: k for k, t in enumerate(chosen)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,6 +49,29 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.expected_severity <= 2 and 0 <= r.p_above_1 <= r.p_above_0 <= 1 and r.grade in (0, 1, 2) for r in got)
 
 
+def test_many_rare_insults_held_out(spark):
+    """A hundred insults, each in about 2 % of toxic rows; long toxic near copies share incidental words."""
+    rng = random.Random(5)
+    insults = [f"insult{k}" for k in range(100)]
+    rows = []
+    for k in range(8000):
+        words = [f"w{min(int(rng.paretovariate(0.6)), 30_000)}" for _ in range(rng.randrange(20, 120))]
+        bad = rng.random() < 0.2
+        words += rng.sample(insults, 2) if bad else []
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), bad))
+    copied = [f"copied{k}" for k in range(300)] + ["insult0"]
+    rows += [(8000 + k, " ".join([*copied, f"end{k}"]), True) for k in range(30)]
+    rows += [(9000 + k, f"w1 w2 copied{k} w3", False) for k in range(20)]  # not labelled
+    docs = spark.createDataFrame(rows, "doc_id long, text string, truth boolean")
+    known = spark.createDataFrame([(i, int(bad)) for i, _, bad in rows if i % 2 == 0 and i < 9000], "doc_id long, toxic int")
+    model = toxicity.train(known, docs, Workspace(spark, "test"))
+    assert {t for t in model.weights if not t.startswith(b"insult")} == set()
+    got = toxicity.score_toxicity(docs, model).where("doc_id % 2 = 1 OR doc_id >= 9000").collect()
+    assert not [r for r in got if r.toxic and not r.truth]
+    assert sum(r.toxic for r in got if r.truth) >= 0.98 * sum(r.truth for r in got)
+
+
 def test_toxicity_edges(spark):
     rows, labels = corpus(200)
     docs = spark.createDataFrame([(i, t) for i, t, *_ in rows] + [(900, None), (901, ""), (902, "vile " * 60_000), (None, "aa1"), (0, rows[0][1])], "doc_id long, text string")
