@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import codec
+from siltstone.functions.bloom import DEFAULT_BITS_PER_KEY, bits_for_keys, optimal_k
 from siltstone.operators import bloom, files, merge, scan
 from siltstone.shared import scratch
 
@@ -343,7 +344,8 @@ def _(spark, sf_dir, rows):
 @_query("kv_bloom_false_negatives", "SELECT CAST(0 AS BIGINT) AS false_negatives, count(*) AS keys FROM newest")
 def _(spark, sf_dir, rows):
     keys = merge.latest(rows).select("key")
-    answers = bloom.might_contain(keys, bloom.build(keys, 4096, 7), 4096, 7)
+    bits, k = bits_for_keys(keys.count(), DEFAULT_BITS_PER_KEY), optimal_k(DEFAULT_BITS_PER_KEY)
+    answers = bloom.might_contain(keys, bloom.build(keys, bits, k), bits, k)
     return answers.agg(F.count_if(~F.col("maybe")).alias("false_negatives"), F.count("*").alias("keys"))
 
 
@@ -351,8 +353,8 @@ def _(spark, sf_dir, rows):
 def _(spark, sf_dir, rows):
     keys = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key")).distinct()
     absent = keys.select(F.concat(F.lit("absent-"), "key").alias("key"))
-    bits = 10 * 2048
-    return bloom.might_contain(absent, bloom.build(keys, bits, 7), bits, 7).agg(F.avg(F.col("maybe").cast("int")).alias("rate"))
+    bits, k = bits_for_keys(keys.count(), DEFAULT_BITS_PER_KEY), optimal_k(DEFAULT_BITS_PER_KEY)
+    return bloom.might_contain(absent, bloom.build(keys, bits, k), bits, k).agg(F.avg(F.col("maybe").cast("int")).alias("rate"))
 
 
 @_query("kv_crc32", None)

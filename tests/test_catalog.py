@@ -43,6 +43,10 @@ def test_rows_only_queries(spark):
     assert catalog.QUERIES["kv_crc32"](spark, str(DATA)).count() > 0
 
 
+def test_filter_grows_with_the_keys(spark):
+    assert 0 < catalog.QUERIES["kv_bloom_fpr"](spark, "/root/testdata/sf0.1").first()[0] < 0.02
+
+
 def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
