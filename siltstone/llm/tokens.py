@@ -5,11 +5,13 @@ No word reaches across the point where white space follows other text, nor
 where a full stop or comma follows a letter or digit.  Texts are cut at those
 points, each distinct piece is encoded by the library once and kept in a
 bounded memo, and the ids are joined.  A text with white space other than the
-four usual characters is encoded as a whole.
+four usual characters, or with an added token of the tokenizer (such as
+``<|endoftext|>``) in it, is encoded as a whole.
 """
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -32,6 +34,8 @@ MEMO_ENTRIES = 800_000
 SLICE_BYTES = 4 << 20
 #: New words encoded in one call.
 WORDS_A_CALL = 512
+#: Bytes of text after which freed memory goes back to the system.
+TRIM_BYTES = 12 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,24 +45,23 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as bytes of little-endian unsigned 32-bit numbers.
-
-    Strings of special tokens inside a text count as ordinary text.
-    """
+    """``encode(texts)`` gives each text's ids as bytes of little-endian unsigned 32-bit numbers: those of the library without special tokens added."""
 
     def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
+        self.lead = os.path.commonprefix(added)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         tokens = {i: t for t, i in self.tokenizer.get_vocab().items()}
         names = [tokens.get(i, "") for i in range(max(tokens, default=-1) + 1)]
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.ends_word = np.array([t.endswith(suffix) for t in names]) if suffix else None
         self.n_bytes = np.array([len(t) for t in names])  # a character of a byte-level vocabulary is a byte
         self.memo: dict[str, bytes] = {}
-        self.memo_entries = memo_entries
+        self.memo_entries, self.since_trim = memo_entries, 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,12 +112,21 @@ class Encoder:
                 del memo[p]
         return found
 
+    def _trim(self, chars: int) -> None:
+        """Gives freed memory back now and then: what many short strings leave behind is more than the memo itself."""
+        self.since_trim += chars
+        if self.since_trim >= TRIM_BYTES:
+            self.since_trim = 0
+            release_memory()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Pieces of all texts are cut and made distinct column-wise; each distinct one is looked up once."""
         if not texts:
             return []
-        regular = [True] * len(texts) if _regular(texts) else [_regular([t]) for t in texts]
-        whole = [k for k, ok in enumerate(regular) if not ok and _UNUSUAL.search(texts[k])]
+        self._trim(sum(map(len, texts)))
+        held = {k for k, t in enumerate(texts) if self.lead in t and self.added.search(t)} if self.added else set()
+        regular = [True] * len(texts) if not held and _regular(texts) else [k not in held and _regular([t]) for k, t in enumerate(texts)]
+        whole = [k for k, ok in enumerate(regular) if not ok and (k in held or _UNUSUAL.search(texts[k]))]
         out: dict[int, bytes] = dict(zip(whole, self._library([texts[k] for k in whole]), strict=True))
         some = [k for k, ok in enumerate(regular) if ok]
         marked = pa.array([texts[k] for k in some], pa.string())
@@ -136,6 +148,14 @@ class Encoder:
         return [out[k] for k in range(len(texts))]
 
 
+def release_memory() -> None:
+    """Returns this process's freed pages, Arrow's and the C library's, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(first row, rows) of runs of a binary column of at most :data:`SLICE_BYTES` each."""
     at, held = 0, 0

@@ -94,8 +94,7 @@ def test_islands_exchange_elites(spark):
 def test_memo_gives_the_ids_of_the_library(name):
     path = tokenizer_path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = ["a  b", "\n\n x\ty ", "don't  can't!! \n\n\nhi it's.", "", "   ", "x　 y", "é é́ oḱ,", "ΑΣ ΟΔΟΣ. ΣΑΣ", "#$%&|<> 12 345", "a\r\nb  \r\n c", "emoji 😀😀 \n 😀", "<|endoftext|> z", "Wörter, Straße. naïve×÷ ǅ", "x" * 100 + " " + "y" * 60, "a.b,c;d:e!f?g", "foo!bar 'tis 'll", "\x85a\x1cb\x0bc", "ends with word"]
+    texts = ["a  b", "\n\n x\ty ", "don't  can't!! \n\n\nhi it's.", "", "   ", "x　 y", "é é́ oḱ,", "ΑΣ ΟΔΟΣ. ΣΑΣ", "#$%&|<> 12 345", "a\r\nb  \r\n c", "emoji 😀😀 \n 😀", "<|endoftext|> z", "a, b<|startoftext|>c. d <|ENDOFTEXT|>", "<|endoftext", "Wörter, Straße. naïve×÷ ǅ", "x" * 100 + " " + "y" * 60, "a.b,c;d:e!f?g", "foo!bar 'tis 'll", "\x85a\x1cb\x0bc", "ends with word"]
     for memo in (5, 1000):
         encoder = Encoder(path, memo_entries=memo)
         for _ in range(2):
