@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPLIT = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
+#: Letters of the beginnings and endings of words that count as features.
+AFFIX = range(3, 7)
 
 
 def terms(text: bytes | None) -> list[bytes]:
@@ -17,6 +19,13 @@ def terms(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(_SPLIT).split()
 
 
+def word_features(word: bytes) -> list[str]:
+    """The word itself (``=word``), and its beginnings (``<wor``) and endings (``>ord``) shorter than it."""
+    name = word.decode("utf-8", "replace")
+    short = [k for k in AFFIX if k < len(name)]
+    return ["=" + name, *("<" + name[:k] for k in short), *(">" + name[-k:] for k in short)]
+
+
 def labelled_sample(labels: DataFrame, docs: DataFrame, rows: int, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """At most ``rows`` labelled ids (those that hash lowest) with their text as bytes and the columns ``keep``.
 

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import mixing, toxicity
+from siltstone.llm._labelled import word_features
 from siltstone.llm._runtime import Workspace
 
 DATA = "/root/testdata/sf0.01"
@@ -66,7 +69,8 @@ def test_many_rare_insults_held_out(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, truth boolean")
     known = spark.createDataFrame([(i, int(bad)) for i, _, bad in rows if i % 2 == 0 and i < 9000], "doc_id long, toxic int")
     model = toxicity.train(known, docs, Workspace(spark, "test"))
-    assert {t for t in model.weights if not t.startswith(b"insult")} == set()
+    of_insults = {f for k in insults for f in word_features(k.encode())}
+    assert sum(w for f, w in model.weights.items() if f not in of_insults) <= 0.1 * sum(model.weights.values())
     got = toxicity.score_toxicity(docs, model).where("doc_id % 2 = 1 OR doc_id >= 9000").collect()
     assert not [r for r in got if r.toxic and not r.truth]
     assert sum(r.toxic for r in got if r.truth) >= 0.98 * sum(r.truth for r in got)
@@ -85,13 +89,32 @@ def test_toxicity_edges(spark):
     assert toxicity.flag_toxic(docs.limit(0), known).count() == 0
 
 
-def test_toxicity_on_the_given_tables(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
-    got = toxicity.flag_toxic(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
-    words = F.split(F.lower("text"), "[^a-z]+")
-    insults = F.size(F.filter(words, lambda w: w.isin("scum", "idiot", "loser", "moron", "clown", "trash", "stupid", "pathetic", "worthless", "disgusting")))
-    counts = {(r[0], r[1]): r[2] for r in got.groupBy((insults > 0).alias("insults"), "toxic").count().collect()}
-    assert counts.get((False, True), 0) == 0 and counts.get((True, False), 0) <= 0.05 * counts[True, True]
+def test_toxicity_held_out_by_language(spark):
+    """Labels of sf0.1: fitted on three quarters, judged on the rest, each language on its own."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    known = labels.where(~held).withColumnRenamed("label", "toxic")
+    got = toxicity.flag_toxic(docs.join(labels, "doc_id"), known).where(held)
+    counts = {(r[0], r[1], r[2]): r[3] for r in got.groupBy("lang", "label", "toxic").count().collect()}
+    for lang in ("en", "de", "fr", "es"):
+        hit, missed = counts.get((lang, 1, True), 0), counts.get((lang, 1, False), 0)
+        wrong, clean = counts.get((lang, 0, True), 0), counts.get((lang, 0, False), 0)
+        print(lang, "caught", hit, "of", hit + missed, "clean rejected", wrong, "of", wrong + clean)
+        assert hit >= 0.8 * (hit + missed) and wrong <= 0.02 * (wrong + clean)
+
+
+def test_scores_equal_brute_force(spark):
+    model = toxicity.OrdinalModel({"=awful": 2.0, "<rot": 1.5, ">sty": 0.5, "<nas": 0.25}, (1.0, 3.0))
+    texts = ["Awful, rotten nasty day", "", None, "rot sty", "nasty " * 5000, "a b"]
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, grade string")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    for k, text in enumerate(texts):
+        words = [w for w in re.split(r"[^a-z]+", (text or "").lower()) if w]
+        x = sum(2.0 * (w == "awful") + 1.5 * (w[:3] == "rot" != w) + 0.5 * (w[-3:] == "sty" != w) + 0.25 * (w[:3] == "nas" != w) for w in words)
+        x *= 100 / (len(words) + toxicity.PRIOR_WORDS)
+        want = [1 / (1 + math.exp(t - x)) if t - x < 500 else 0.0 for t in (1.0, 3.0)]
+        assert np.allclose([got[k].p_above_0, got[k].p_above_1], want) and abs(got[k].expected_severity - sum(want)) < 1e-9
 
 
 def test_domains_held_out_and_soft(spark):
