@@ -2,19 +2,21 @@
 
 Layout of a store, all of it Parquet:
 
-``chunks``   (hash, ids): each distinct chunk of ids once; ``hash`` is the
-             BLAKE2b-128 of ``ids``, which are little-endian numbers of
-             ``width`` bytes.
-``recipes``  one row per document in ascending order of id: (doc_id, copies,
-             start, n_tokens, root, chunks): its chunk hashes in order and
-             their Merkle root; ``copies`` counts equal rows of the table.
+``chunks``   (hash, ids): each distinct chunk of ids once, in buckets by hash;
+             ``hash`` is the BLAKE2b-128 of ``ids``, which are little-endian
+             numbers of ``width`` bytes.
+``recipes``  one row per document in ascending order of id, part by part:
+             (part, doc_id, copies, inside, n_tokens, root, chunks): its chunk
+             hashes in order, their Merkle root, and the ids of its part
+             before it; ``copies`` counts equal rows of the table.
 ``manifest`` one row per part of the recipes in order: (part, first_id,
-             last_id, documents, n_tokens, root): Merkle roots over the roots
-             of its documents.
+             last_id, documents, n_tokens, root, width, buckets): Merkle roots
+             over the roots of its documents.
 
 Documents are cut where a rolling hash of the last ids has its low bits zero,
 so equal passages give equal chunks wherever they stand.  Reading verifies
-chunk hashes, document roots and part roots.
+the manifest against the recipes, chunk hashes and document roots, and raises
+where a chunk, a recipe or a part is missing, repeated or other than stated.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ from pyspark.sql import functions as F
 
 from siltstone.llm._runtime import Workspace, release
 from siltstone.llm.tokens import encoder, slices
-from siltstone.shared import scratch
 
 #: Ids the rolling hash looks at, least and most ids of a chunk, and the mean distance of cuts.
 WINDOW, LEAST, MOST, MEAN = 16, 128, 2048, 512
@@ -38,6 +39,10 @@ WINDOW, LEAST, MOST, MEAN = 16, 128, 2048, 512
 READ_DOCS = 128
 #: A chunk in more documents than both is joined by broadcast; at most HOT_PARTS such chunks can exist.
 HOT_DOCS, HOT_PARTS = 10_000, 5_000
+#: Chunks that a task remembers to have given, so that a passage of many documents leaves each task once.
+TASK_CHUNKS = 400_000
+_RECIPES = "part int, doc_id long, copies long, inside long, n_tokens long, root binary, chunks array<binary>"
+_MANIFEST = "part int, first_id long, last_id long, documents long, n_tokens long, root binary"
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, size=1 << 16, dtype=np.uint32)
 
@@ -56,6 +61,28 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
+class MerkleStream:
+    """:func:`merkle` of leaves that come one by one; holds one digest per level."""
+
+    def __init__(self) -> None:
+        self.levels: list[bytes | None] = []
+
+    def add(self, leaf: bytes) -> None:
+        for k, held in enumerate(self.levels):
+            if held is None:
+                self.levels[k] = leaf
+                return
+            leaf, self.levels[k] = digest(b"\x01" + held + leaf), None
+        self.levels.append(leaf)
+
+    def root(self) -> bytes:
+        out = None
+        for held in self.levels:
+            if held is not None:
+                out = held if out is None else digest(b"\x01" + held + out)
+        return digest(b"") if out is None else out
+
+
 def cut_marks(ids: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash of the last :data:`WINDOW` ids allows a cut.
 
@@ -88,15 +115,17 @@ def chunk_ends(marks: np.ndarray, first: int, last: int) -> list[int]:
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_tokens, root, hashes, parts): every row with its chunks."""
+    """(doc_id, n_tokens, root, hashes, parts): every row with its chunks; a chunk that the task gave before is null."""
     kind = np.dtype(f"<u{width}")
     names = ["doc_id", "n_tokens", "root", "hashes", "parts"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+        enc, end, given = encoder(tokenizer), end_id.to_bytes(4, "little"), set()
         for whole in batches:
             for at, n in slices(whole.column(1)):
+                if len(given) > TASK_CHUNKS:
+                    given.clear()
                 batch = whole.slice(at, n)
                 each_ids = [x + end for x in enc.encode([(t.as_py() or b"").decode("utf-8", "replace") for t in batch.column(1)])]
                 lengths = [len(x) // 4 for x in each_ids]
@@ -108,6 +137,10 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: s
                     bounds = [begin, *chunk_ends(marks, begin, begin + length)]
                     parts = [raw[a * width : b * width] for a, b in zip(bounds, bounds[1:], strict=False)]
                     hashes = [digest(p) for p in parts]
+                    for k, h in enumerate(hashes):
+                        if h in given:
+                            parts[k] = None
+                        given.add(h)
                     rows.append((doc, length, merkle(hashes), hashes, parts))
                     begin += length
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -116,25 +149,37 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: s
     return rows.mapInArrow(each, "doc_id long, n_tokens long, root binary, hashes array<binary>, parts array<binary>")
 
 
-def _with_starts(recipes: DataFrame) -> DataFrame:
-    """``recipes`` (range-partitioned and sorted by doc_id) with the ids of all documents before each, and its part.
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fills ``inside`` of sorted recipes, a part a task: the ids of the part before each."""
+    total = 0
+    for batch in batches:
+        n = np.array([c * t for c, t in zip(batch["copies"].to_pylist(), batch["n_tokens"].to_pylist(), strict=True)], dtype=np.int64)
+        ends = total + np.cumsum(n)
+        at = batch.schema.get_field_index("inside")
+        yield batch.set_column(at, batch.schema.field(at), pa.array(ends - n))
+        total = int(ends[-1]) if len(ends) else total
 
-    Sums per part go to the driver, one number a part; the running sum stays
-    inside a part.
-    """
-    from pyspark.sql import Window
 
-    parts = recipes.groupBy("part").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).collect()
-    before, total = [], 0
-    for part, n in sorted((r["part"], r["n"]) for r in parts):
-        before.append((part, total))
-        total += n
-    base = recipes.sparkSession.createDataFrame(before, "part int, base long") if before else None
-    order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root")
-    inside = F.coalesce(F.sum(F.col("n_tokens") * F.col("copies")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    if base is None:
-        return recipes.withColumn("start", F.lit(0).cast("long"))
-    return recipes.join(F.broadcast(base), "part").withColumn("start", F.col("base") + inside).drop("base")
+def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Manifest rows of recipes sorted by part and place; a place that does not continue the one before it spoils the root."""
+    schema = pa.schema([("part", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("documents", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
+    held, tree = None, MerkleStream()
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([held | {"root": tree.root()}], schema)
+
+    for batch in batches:
+        for part, doc, copies, inside, n, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held is None or held["part"] != part:
+                if held is not None:
+                    yield row()
+                held, tree = {"part": part, "first_id": doc, "last_id": doc, "documents": 0, "n_tokens": 0}, MerkleStream()
+            tree.add(root if inside == held["n_tokens"] else b"")
+            held["last_id"] = doc
+            held["documents"] += 1
+            held["n_tokens"] += copies * n
+    if held is not None:
+        yield row()
 
 
 class TokenStore:
@@ -150,61 +195,70 @@ class TokenStore:
         A null or empty text is the end id alone.  Rows of equal id and ids are
         one recipe with its ``copies``; a null id comes first.  ``width`` is 2
         bytes for ids below 65,536, else 4.  Other columns are not read.
+        Without ``path`` the store lasts as long as the process.
         """
         spark = docs.sparkSession
-        path = path or scratch(spark, "store")
+        path = path or Workspace(spark, "store").path
         width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
         work = Workspace(spark, "tokens")
         staged = work.stage(_encoded(docs, tokenizer, end_id, width, id_col, text_col), "encoded")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"siltstone_chunks_{uuid.uuid4().hex}"
         chunk = F.explode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("parts").alias("ids"))).alias("c")
-        once = staged.select(chunk).select("c.hash", "c.ids").repartition(parts, "hash").dropDuplicates(["hash"])
-        once.write.bucketBy(parts, "hash").option("path", f"{path}/chunks").option("compression", "zstd").saveAsTable(table)
+        once = staged.select(chunk).select("c.hash", "c.ids").where("ids IS NOT NULL").repartition(buckets, "hash").dropDuplicates(["hash"])
+        once.write.bucketBy(buckets, "hash").option("path", f"{path}/chunks").option("compression", "zstd").saveAsTable(table)
         del once
         flat = staged.groupBy("doc_id", "root").agg(F.first("n_tokens").alias("n_tokens"), F.count("*").alias("copies"), F.first("hashes").alias("chunks"))
-        ordered = work.stage(flat.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "ordered")
+        ordered = flat.repartitionByRange(buckets, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
+        names = [f.split()[0] for f in _RECIPES.split(", ")]
+        rows = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "copies", F.lit(0).cast("long").alias("inside"), "n_tokens", "root", "chunks").select(*names)
+        rows.mapInArrow(_running, _RECIPES).write.parquet(f"{path}/recipes")
         work.drop("encoded")
         release(spark)
-        full = _with_starts(ordered).select("part", "doc_id", "copies", "start", "n_tokens", "root", "chunks")
-        full.repartitionByRange(parts, "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
         store = cls(spark, path, width, table)
-        store._manifest().write.parquet(f"{path}/manifest")
-        work.drop("ordered")
+        store._found_manifest().withColumns({"width": F.lit(width), "buckets": F.lit(buckets)}).coalesce(1).write.parquet(f"{path}/manifest")
         return store
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TokenStore:
+        """The store that was written to ``path``, in this or another session; raises where its manifest is missing."""
+        row = spark.read.parquet(f"{path}/manifest").select("width", "buckets").first()
+        width, buckets = row or (2, 1)
+        table = f"siltstone_chunks_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {table} (hash BINARY, ids BINARY) USING parquet CLUSTERED BY (hash) INTO {buckets} BUCKETS LOCATION '{path}/chunks'")
+        return cls(spark, path, width, table)
+
+    def close(self) -> None:
+        """Takes the table of chunks out of the session's catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     @property
     def recipes(self) -> DataFrame:
-        return self.spark.read.schema("part int, doc_id long, copies long, start long, n_tokens long, root binary, chunks array<binary>").parquet(f"{self.path}/recipes")
+        """The stored recipes with ``start``: the ids of all documents before each."""
+        base, total = [], 0
+        for r in self.manifest.orderBy("part").collect():  # a row a part
+            base.append((r["part"], total))
+            total += r["n_tokens"]
+        bases = self.spark.createDataFrame(base, "part int, base long")
+        return self._stored_recipes.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside")
 
-    def _manifest(self) -> DataFrame:
-        """Parts of the recipes and their Merkle roots, computed from what is stored."""
-
-        def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, found = None, []
+    @property
+    def manifest(self) -> DataFrame:
+        return self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest")
 
-            def row() -> pa.RecordBatch:
-                ids = [d for d, _, _ in found]
-                return pa.RecordBatch.from_pylist([{"part": part, "first_id": ids[0], "last_id": ids[-1], "documents": len(ids), "n_tokens": sum(n for _, n, _ in found), "root": merkle([r for _, _, r in found])}], schema)
+    @property
+    def _stored_recipes(self) -> DataFrame:
+        return self.spark.read.schema(_RECIPES).parquet(f"{self.path}/recipes")
 
-            schema = pa.schema([("part", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("documents", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
-            for batch in batches:
-                for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if r[0] != part and found:
-                        yield row()
-                        found.clear()
-                    part = r[0]
-                    found.append((r[2], r[3] * r[4], r[5]))
-            if found:
-                yield row()
-
-        rows = self.recipes.select("part", "start", "doc_id", "copies", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start")
-        return rows.mapInArrow(roots, "part int, first_id long, last_id long, documents long, n_tokens long, root binary")
+    def _found_manifest(self) -> DataFrame:
+        """Parts of the recipes and their Merkle roots, from a narrow pass over what is stored."""
+        rows = self._stored_recipes.select("part", "doc_id", "copies", "inside", "n_tokens", "root")
+        return rows.repartition("part").sortWithinPartitions("part", "inside", F.col("doc_id").asc_nulls_first()).mapInArrow(_part_rows, _MANIFEST)
 
     def verify_manifest(self) -> bool:
-        """Whether the recipes have the roots that the manifest states."""
-        stated = self.spark.read.schema(self._manifest().schema).parquet(f"{self.path}/manifest")
-        return self._manifest().exceptAll(stated).isEmpty() and stated.exceptAll(self._manifest()).isEmpty()
+        """Whether the recipes have the parts, ids, counts and roots that the manifest states."""
+        as_rows = lambda df: sorted(tuple(r) for r in df.withColumn("root", F.hex("root")).withColumns({c: F.coalesce(c, F.lit(-(1 << 63))) for c in ("first_id", "last_id")}).collect())
+        return as_rows(self._found_manifest()) == as_rows(self.manifest)
 
     def read(self) -> DataFrame:
         """(doc_id, start, n_tokens, ids: little-endian unsigned 32-bit numbers) of every document, put together again.
@@ -213,13 +267,15 @@ class TokenStore:
         come to them and are hashed, so chunks are neither shuffled nor sorted.  A chunk that very many documents hold is broadcast
         instead.  Raises where a hash or a root does not fit.
         """
+        if not self.verify_manifest():
+            raise ValueError(f"the recipes in {self.path} are not those that its manifest states")
         refs = self.recipes.select("doc_id", "copies", "start", "n_tokens", "root", F.posexplode("chunks").alias("pos", "hash"))
         chunks = self.spark.table(self.table)
         total = refs.count()
         hot = refs.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_DOCS, total // HOT_PARTS)).select("hash")
         hot_chunks = F.broadcast(chunks.join(F.broadcast(hot), "hash", "left_semi"))
-        usual = refs.join(F.broadcast(hot), "hash", "left_anti").hint("shuffle_hash").join(chunks, "hash")
-        rows = usual.unionByName(refs.join(hot_chunks, "hash")).select("start", "doc_id", "copies", "n_tokens", "root", "pos", "hash", "ids")
+        usual = refs.join(F.broadcast(hot), "hash", "left_anti").join(chunks.hint("shuffle_hash"), "hash", "left")
+        rows = usual.unionByName(refs.join(F.broadcast(hot), "hash", "left_semi").join(hot_chunks, "hash", "left")).select("start", "doc_id", "copies", "n_tokens", "root", "pos", "hash", "ids")
         kind = np.dtype(f"<u{self.width}")
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +294,8 @@ class TokenStore:
             done: list[tuple] = []
             for batch in batches:
                 for start, doc, copies, n, root, _, name, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if digest(ids) != name:
-                        raise ValueError(f"a chunk of document {doc} does not fit its hash")
+                    if ids is None or digest(ids) != name:
+                        raise ValueError(f"a chunk of document {doc} is missing or does not fit its hash")
                     if key is not None and key[0] != start:
                         done.append(row())
                         parts, hashes = [], []
