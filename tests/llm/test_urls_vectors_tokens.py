@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import os
 import random
+import shutil
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from test_components_blocks import brute
 from tokenizers import Tokenizer
@@ -60,7 +63,7 @@ def dense_rank(edges, seeds, hosts, damping=0.85, steps=200):
         v[at[h]] = x
     r = v * (1 - damping)
     for _ in range(steps):
-        r = v * (1 - damping) + damping * w @ r
+        r = v * (1 - damping) + damping * (w @ r + v / v.sum() * r[total == 0].sum())  # hosts without links pass on to the seeds
     return {h: r[at[h]] for h in hosts}
 
 
@@ -71,11 +74,25 @@ def test_propagation_equals_dense_pagerank(spark):
     rows = [("trust", s, d, n) for (s, d), n in edges.items() if s != d]
     links = spark.createDataFrame(rows, "kind string, src string, dst string, n long")
     seeds = spark.createDataFrame([("trust", "h1", 0.75), ("trust", "h2", 0.25)], "kind string, host string, seed double")
-    got = {r.host: r.score for r in url_filter.propagate(links, seeds, Workspace(spark, "test"), tolerance=1e-9, max_steps=100).collect()}
+    got = {r.host: r.score for r in url_filter.propagate(links, seeds, Workspace(spark, "test"), tolerance=1e-9, hub_links=3).collect()}
     want = dense_rank([r[1:] for r in rows], {"h1": 0.75, "h2": 0.25}, [*hosts, "hub"])
     assert all(abs(got.get(h, 0.0) - want[h]) < 1e-6 for h in want)
 
 
+def test_many_trusted_seeds_do_not_weaken_trust(spark):
+    """One blocked seed and twenty trusted ones: a host that ten trusted links reach is not blocked for one link to the blocked host."""
+
+    def page(host, path, *to):
+        return f"http://{host}{path}", "".join(f'<a href="http://{h}/">' for h in to)
+
+    rows = [page(f"t{k}.com", "/", "good.org", *(f"other{k}-{j}.org" for j in range(9))) for k in range(20)]
+    rows += [page("x.net", "/es/1", "nowhere.org"), page("good.org", "/", "x.net"), page("bad.org", "/", "x.net")]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r for r in url_filter.filter_urls(pages, URL_RULES).collect()}
+    assert got["good.org"].verdict == "allow" and got["good.org"].distrust > 0
+    assert got["bad.org"].verdict == "block" and got["x.net"].verdict == "block"
+
+
 def test_trust_and_distrust_reach_hosts_without_rules(spark):
     def link(*to):
         return "".join(f'<a href="{x}">x</a><A class=b HREF = \'{x}\'>' for x in to)
@@ -200,6 +217,35 @@ def test_damaged_chunk_is_refused(spark, tmp_path):
     spark.sql("DROP TABLE damaged_chunks")
 
 
+def test_losses_are_refused(spark, tmp_path):
+    """A store without a chunk, a recipe or a part of its manifest raises instead of giving fewer documents."""
+    docs = spark.createDataFrame([(k, f"text number {k} " * (k + 1), "x") for k in range(40)], "doc_id long, text string, x string")
+    path = f"file://{tmp_path}/store"
+    token_store.TokenStore.write(docs, BYTE, end_id=2, path=path).close()
+    opened = token_store.TokenStore.open(spark, path)
+    assert opened.read().count() == 40
+    for name, message in (("chunks", "is missing"), ("recipes", "manifest"), ("manifest", "manifest")):
+        damaged = f"{tmp_path}/without-{name}"
+        shutil.copytree(f"{tmp_path}/store", damaged)
+        rows = spark.read.parquet(f"{path}/{name}").toArrow()
+        shutil.rmtree(f"{damaged}/{name}")
+        os.mkdir(f"{damaged}/{name}")
+        pq.write_table(rows.slice(1), f"{damaged}/{name}/part-00000-x_00000.c000.parquet")
+        with pytest.raises(Exception, match=message):
+            store = token_store.TokenStore.open(spark, f"file://{damaged}")
+            if name == "chunks":
+                store.table = f"parquet.`{damaged}/chunks`"
+            store.read().collect()
+
+
+def test_stream_of_leaves_gives_the_same_root():
+    for n in range(40):
+        leaves, tree = [token_store.digest(bytes([k])) for k in range(n)], token_store.MerkleStream()
+        for leaf in leaves:
+            tree.add(leaf)
+        assert tree.root() == token_store.merkle(leaves)
+
+
 def test_empty_store(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_store.TokenStore.write(docs, BYTE, end_id=2, path=f"file://{tmp_path}/store").read().count() == 0
