@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm._runtime import few
+
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Documents on which rules are measured, at most.
@@ -117,6 +119,10 @@ RULES = (
 )
 
 
+#: The base figures of a document, in the order of the result's columns.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def base_failed(d: Document) -> bool:
     return d.n_words < 50 or 100 * d.n_repeat_words > 50 * d.n_words
 
@@ -124,8 +130,9 @@ def base_failed(d: Document) -> bool:
 def measure(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str, sample_rows: int) -> dict[str, tuple[float, float]]:
     """Rule name to (seconds a document, share rejected) on the ``sample_rows`` documents whose ids hash lowest.
 
-    Features are computed afresh for each rule, so a cost is that of the rule
-    alone.
+    The base figures are computed first, as they are for every document, so a
+    cost is what the rule adds to them.  Of a repeated id one row is measured;
+    rows without an id are not.
     """
     ids = [r[0] for r in docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).collect()]
 
@@ -133,10 +140,12 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str
         spent, hits, rows = [0.0] * len(rules), [0] * len(rules), 0
         for batch in batches:
             for x in batch.column(0):
-                raw, rows = x.as_py(), rows + 1
+                d, rows = Document(x.as_py()), rows + 1
+                for c in COUNTS:
+                    getattr(d, c)
                 for k, rule in enumerate(rules):
                     began = time.perf_counter()
-                    hits[k] += bool(rule.rejects(Document(raw)))
+                    hits[k] += bool(rule.rejects(d))
                     spent[k] += time.perf_counter() - began
         if rows:
             n = len(rules)
@@ -144,7 +153,7 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str
 
     if not ids:
         return {r.name: (1.0, 0.0) for r in rules}
-    sample = docs.where(F.col(id_col).isin(ids)).select(F.col(text_col).cast("binary"))
+    sample = docs.where(F.col(id_col).isin(ids)).dropDuplicates([id_col]).select(F.col(text_col).cast("binary"))
     found = sample.mapInArrow(each, "rule int, spent double, hits long, seen long").groupBy("rule").agg(F.sum("spent"), F.sum("hits"), F.sum("seen")).collect()
     return {rules[r[0]].name: (r[1] / r[3], r[2] / r[3]) for r in found}
 
@@ -160,25 +169,24 @@ def quality_cascade(
     """One row per row of ``docs``: id, the base figures, base_failed, kept and failed_rule.
 
     ``failed_rule``: 'base', or the first rule of the cascade that rejects,
-    else null.  A null text has no words and fails the base.  Repeated rows
+    else null; rules of like cost may change places from run to run, which
+    changes this column alone.  A null text has no words and fails the base.  Repeated rows
     give one row each; null ids are kept as they are; an empty table gives
     none; other columns are not read.  The base figures are computed for all
     documents, the rules only until one rejects.
     """
     cascade = ordered(rules, measure(docs, rules, id_col, text_col, sample_rows))
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             rows = []
             for x in batch.column(1):
                 d = Document(x.as_py())
                 failed = "base" if base_failed(d) else next((r.name for r in cascade if r.rejects(d)), None)
-                rows.append((*(getattr(d, c) for c in counts), failed == "base", failed is None, failed))
+                rows.append((*(getattr(d, c) for c in COUNTS), failed == "base", failed is None, failed))
             columns = list(zip(*rows, strict=True)) or [()] * 8
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["id", *counts, "base_failed", "kept", "failed_rule"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["id", *COUNTS, "base_failed", "kept", "failed_rule"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    schema = "id long, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean, failed_rule string"
+    schema = "id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, failed_rule string"
     return rows.mapInArrow(each, schema).withColumnRenamed("id", id_col)
