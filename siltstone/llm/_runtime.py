@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.shared import scratch
@@ -54,3 +57,27 @@ def release(spark: SparkSession) -> None:
     """Asks the driver to collect its garbage, upon which Spark deletes shuffle files that no plan refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def release_memory() -> None:
+    """Returns this process's freed pages, Arrow's and the C library's, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def few(batches: Iterator[pa.RecordBatch], rows: int = 256, mb: int = 16) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of a few rows, so that what is made of a piece stays small beside the batch; freed memory goes back now and then.
+
+    A worker lives on for later tasks, so what its heap keeps would add up beside the executor's.
+    """
+    held = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        held += batch.nbytes
+        if held > mb << 20:
+            held = 0
+            release_memory()
+    release_memory()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm._labelled import labelled_sample, term_table, terms
-from siltstone.llm._runtime import Workspace
+from siltstone.llm._runtime import Workspace, release_memory
 
 #: Labelled rows fitted on, at most, and terms that are features: the bounds of what reaches the driver.
 SAMPLE_ROWS, MAX_TERMS = 3000, 400
@@ -104,9 +104,10 @@ def memberships(docs: DataFrame, model: DomainModel, text_col: str) -> DataFrame
             words = terms(text)
             tokens.append(len(words))
             posterior.append(model.posterior(model.features(words)))
+        release_memory()
         return pd.DataFrame({"tokens": tokens, "posterior": posterior})
 
-    return docs.withColumn("_m", member(F.col(text_col).cast("binary"))).select("*", "_m.tokens", "_m.posterior").drop("_m")
+    return docs.select(F.struct(*docs.columns).alias("row"), member(F.col(text_col).cast("binary")).alias("m")).select("row.*", "m.tokens", "m.posterior")
 
 
 def fit_rates(rows: DataFrame, targets: list[float], total: float | None = None, floor: float = 0.0, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm._blocks import in_blocks, runs, spanning_links, together
 from siltstone.llm._components import connected_components
-from siltstone.llm._runtime import Workspace, spread
+from siltstone.llm._runtime import Workspace, few, spread
 
 #: Seed of the XXH64 of a shingle.
 SEED = 42
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     """(id, fp long: the fingerprint's bits) of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             found = np.fromiter((fingerprint(x.as_py(), width) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
@@ -203,21 +203,13 @@ def similar_sets(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(both) - common) - 1e-9
 
 
-def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Batches in pieces of a few rows, so that what is made of a piece stays small beside the batch."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-        pa.default_memory_pool().release_unused()
-
-
 def near_classes(docs: DataFrame, key: list, text_col: str, width: int) -> DataFrame:
     """(c1, c2, first, size, bands, sketch words) of each distinct shingle set; ``first`` is the least ``key`` with it."""
     schema = "_k long, _t1 long, _t2 long, c1 long, c2 long, size int, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
     names = ["_k", "_t1", "_t2", "c1", "c2", "size", "bands", *_SKETCH]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few(batches):
+        for batch in few(batches):
             whole, sizes, keys = np.empty((batch.num_rows, 2), np.int64), np.empty(batch.num_rows, np.int32), []
             found = np.empty((batch.num_rows, SKETCH_WORDS), np.int64)
             for k, x in enumerate(batch.column(3)):
@@ -273,7 +265,7 @@ def exact_links(members: DataFrame, sets: DataFrame, similarity: float, block: i
     """
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in runs(_few(batches), ["component", "b1", "b2"]):
+        for table, starts in runs(few(batches), ["component", "b1", "b2"]):
             maybe = _maybe(table, similarity)
             hashes = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["hashes"]]
 
@@ -296,7 +288,7 @@ def shingle_sets(docs: DataFrame, key: list, text_col: str, width: int, members:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + ", hashes binary"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few(batches):
+        for batch in few(batches):
             found = [shingle_set(x.as_py(), width).tobytes() for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], [*names, "hashes"])
 

@@ -11,7 +11,6 @@ four usual characters, or with an added token of the tokenizer (such as
 
 from __future__ import annotations
 
-import ctypes
 import json
 import os
 import re
@@ -24,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from siltstone.llm._runtime import release_memory
+
 _PIECE = re.compile(r"[ \n\t\r]*(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?=[.,;:!? \n\t\r])|[^ \n\t\r]+)|[ \n\t\r]+")
 #: White space beyond the usual four, and controls that some libraries count as such.
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2060\u3000\ufeff]")
@@ -148,14 +149,6 @@ class Encoder:
         return [out[k] for k in range(len(texts))]
 
 
-def release_memory() -> None:
-    """Returns this process's freed pages, Arrow's and the C library's, to the system."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(first row, rows) of runs of a binary column of at most :data:`SLICE_BYTES` each."""
     at, held = 0, 0

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm._labelled import labelled_sample, terms, word_features
-from siltstone.llm._runtime import Workspace
+from siltstone.llm._runtime import Workspace, few, release_memory
 from siltstone.llm.simhash import bands, shingle_set, sketch, sketch_bits
 
 #: Labelled rows fitted on, at most: the bound of what reaches the driver.
@@ -145,7 +145,7 @@ def _copies(sample: DataFrame) -> set[int]:
     """Rows of ``sample`` (row, toxic, text) that are near copies of a row before them with the same label."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             sets = [shingle_set(x.as_py()) for x in batch.column(2)]
             found = [pa.array([f(s) for s in sets], pa.list_(pa.int64())) for f in (bands, lambda s: sketch(s).tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found], ["row", "toxic", "bands", "sketch"])
@@ -276,7 +276,10 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
         import pandas as pd
 
         score = model.scorer()
-        return pd.DataFrame([score(t) for t in texts], columns=["p_above_0", "p_above_1"])
+        found = pd.DataFrame([score(t) for t in texts], columns=["p_above_0", "p_above_1"])
+        score = None
+        release_memory()
+        return found
 
     kept = [c for c in docs.columns if c not in schema_names]
     rows = docs.select(F.struct(*kept).alias("row"), above(F.col(text_col).cast("binary")).alias("p"))
