@@ -12,14 +12,15 @@ from siltstone.table import Table
 def upsert_stream(changes: DataFrame, table: Table, checkpoint: str, order_by: str | None = None, **trigger) -> StreamingQuery:
     """Each micro-batch of (key, value, op, order_by) is one atomic run of ``table``.
 
-    A batch that is replayed after a failure writes the same rows again, and
-    the newest version of each key is the same.  ``trigger`` as in
+    The manifest version that adds the run also records the batch's number
+    for ``checkpoint``, so a batch replayed after its commit is skipped and
+    cannot overtake puts made since.  ``trigger`` as in
     ``DataStreamWriter.trigger``.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            table.upsert(batch, order_by=order_by)
+            table.upsert(batch, order_by=order_by, batch_id=(checkpoint, number))
 
     out = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(**trigger) if trigger else out).start()

@@ -3,14 +3,22 @@
 The order of every change is: write new data, commit the manifest, delete old
 data; so a crash leaves either the old state or the new one, and files that no
 manifest names, which the next open deletes.
+
+Two locks: maintenance (flushes, batches, compactions) runs one at a time under
+its own, while the lock of the state is held only to rotate the buffer, to
+commit a manifest or to look a key up in memory.  So puts and gets go on while
+runs are written: a full buffer becomes immutable and stays readable until its
+run is committed, and a get pins the files it reads.
 """
 
 from __future__ import annotations
 
 import contextlib
 import os
+import weakref
+from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from threading import RLock
 from typing import Any
 
@@ -41,6 +49,8 @@ class TableStats:
     buffer_tombstones: int
     buffer_bytes: int
     buffer_capacity: int
+    immutable_entries: int
+    log_rewrites: int
     log_bytes: int
     file_count: int
     stored_entries: int
@@ -173,8 +183,8 @@ class Snapshot:
         """(True, value), (True, None) for a tombstone, (False, None) for a key never seen or compacted away."""
         self._check()
         wanted = to_bytes(key)
-        held = next((r for r in self._memory if r[0] == wanted), None)
-        return (True, held[3]) if held else self._table._find(self.manifest, wanted)
+        held = max((r[1:] for r in self._memory if r[0] == wanted), default=None, key=lambda r: r[0])
+        return self._table._newest(self.manifest, held, wanted)
 
     def get(self, key: Any) -> bytes | None:
         return self.get_entry(key)[1]
@@ -211,6 +221,8 @@ class Table:
         self.target_file_bytes, self.bloom_keys = target_file_bytes, bloom_keys
         self.cache = LookupCache(cache_bytes)
         self._buffer, self._lock, self._maintenance = WriteBuffer(buffer_capacity), RLock(), RLock()
+        self._immutable: WriteBuffer | None = None
+        self._reading: Counter[int] = Counter()
         self._snapshots: dict[int, Snapshot] = {}
         self._pending: dict[int, FileMeta] = {}
         self._next_snapshot, self.closed = 1, False
@@ -292,8 +304,6 @@ class Table:
             raise ClosedError("the table is closed")
 
     def _take_seq(self) -> int:
-        from dataclasses import replace
-
         seq = self.manifest.next_seq
         self.manifest = replace(self.manifest, next_seq=seq + 1)
         return seq
@@ -326,9 +336,12 @@ class Table:
             self._write(key, value)
         return len(items)
 
-    def upsert(self, batch: DataFrame, order_by: str | None = None) -> int:
+    def upsert(self, batch: DataFrame, order_by: str | None = None, batch_id: tuple[str, int] | None = None) -> int:
         """Writes (key, value, op) as one run, atomically; returns its rows.
 
+        ``batch_id``: (source, number): a number not above the last one that
+        the table took from the source is skipped.
+
         ``op`` (1 put, 2 delete) may be absent: then a null value is a delete.
         Keys may repeat only with ``order_by``, whose largest value wins.
         """
@@ -341,11 +354,15 @@ class Table:
             rows = rows.groupBy("key").agg(F.max_by(F.struct("op", "value"), "_order").alias("r")).select("key", "r.op", "r.value")
         elif not rows.groupBy("key").count().where("count > 1").isEmpty():
             raise InvalidArgumentError("keys repeat in the batch; name the column that orders them")
-        with self._maintenance, self._lock:
-            self.flush()
-            seq = self._take_seq()
+        with self._maintenance:
+            taken = dict(self.manifest.batches)
+            if batch_id and batch_id[1] <= taken.get(batch_id[0], -1):
+                return 0
+            self._drain()
+            with self._lock:
+                seq = self._take_seq()
             files = self._store(rows.withColumn("seq", F.lit(seq).cast("long")), 0, clustered=False)
-            self._commit((), files)
+            self._commit((), files, batches=tuple(sorted((taken | dict([batch_id])).items())) if batch_id else self.manifest.batches)
             self._counts["flushes"] += 1
         if self.auto_compact:
             self.maybe_compact()
@@ -365,8 +382,12 @@ class Table:
         writer = rows.select("key", "seq", "op", "value").sortWithinPartitions("key").write
         if self.bloom_keys:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1, min(self.bloom_keys, keys or self.bloom_keys)))).option("parquet.bloom.filter.adaptive.enabled", "true")
-        writer.parquet(self.storage.at(path))
-        return self._describe(path, level, file_id, whole=level == 0)
+        try:
+            writer.parquet(self.storage.at(path))
+            return self._describe(path, level, file_id, whole=level == 0)
+        except BaseException:
+            self.storage.delete(self.storage.at(path))  # nothing names the folder yet, and a retry writes it again
+            raise
 
     def _describe(self, path: str, level: int, first_id: int, whole: bool) -> list[FileMeta]:
         """Metadata of a written folder: one entry for all of it, or one per file."""
@@ -379,28 +400,46 @@ class Table:
             out.append(FileMeta(first_id + k, level, bytes(low), bytes(high), n, self.storage.size(self.storage.at(own)), own, seq))
         return out
 
-    def _commit(self, removed: Iterable[FileMeta], added: list[FileMeta]) -> None:
-        following = max([self.manifest.next_file_id, *(f.file_id + 1 for f in added)])
-        manifest = self.manifest.replaced(removed, added, next_file_id=following)
-        self._manifests.commit(manifest)
-        self.manifest = manifest
+    def _commit(self, removed: Iterable[FileMeta], added: list[FileMeta], **numbers: Any) -> None:
+        with self._lock:
+            following = max([self.manifest.next_file_id, *(f.file_id + 1 for f in added)])
+            manifest = self.manifest.replaced(removed, added, next_file_id=following, **numbers)
+            self._manifests.commit(manifest)
+            self.manifest = manifest
 
-    def flush(self) -> int:
-        """Writes the buffer as one run; returns its entries, tombstones included."""
-        with self._maintenance, self._lock:
+    def _rotate(self) -> list[tuple]:
+        """Makes the buffer immutable, unless an older one still waits; the rows of the immutable one."""
+        with self._lock:
             self._check()
-            rows = self._buffer.rows()
+            if self._immutable is None and len(self._buffer):
+                self._immutable, self._buffer = self._buffer, WriteBuffer(self._buffer.capacity)
+            return self._immutable.rows() if self._immutable else []
+
+    def _drain(self) -> int:
+        """Writes what is buffered now, an immutable buffer of an earlier failed flush first; returns its entries."""
+        written = 0
+        for _ in range(2 if self._immutable else 1):
+            rows = self._rotate()
             if not rows:
-                return 0
+                break
             frame = self.spark.createDataFrame([(bytearray(k), s, o, None if v is None else bytearray(v)) for k, s, o, v in rows], ENTRY_SCHEMA)
-            self._commit((), self._store(frame.coalesce(1), 0, clustered=False, keys=len(rows)))
-            self._buffer.clear()
-            if self._log:
-                self._log.truncate()
+            files = self._store(frame.coalesce(1), 0, clustered=False, keys=len(rows))
+            with self._lock:
+                self._commit((), files)
+                self._immutable = None
+                if self._log:  # rows put since the rotation stay logged
+                    self._log.rewrite((o, k, v or b"") for k, _, o, v in self._buffer.rows())
             self._counts["flushes"] += 1
-        if self.auto_compact:
+            written += len(rows)
+        return written
+
+    def flush(self) -> int:
+        """Writes the buffer as one run; returns its entries, tombstones included.  Puts and gets go on meanwhile."""
+        with self._maintenance:
+            written = self._drain()
+        if written and self.auto_compact:
             self.maybe_compact()
-        return len(rows)
+        return written
 
     def sync(self) -> None:
         """Forces the log to disk; the buffer stays."""
@@ -415,8 +454,8 @@ class Table:
             return self.spark.createDataFrame([], ENTRY_SCHEMA)
         return self.spark.read.schema(ENTRY_SCHEMA).parquet(*[self.storage.at(f.path) for f in files])
 
-    def _find(self, manifest: Manifest, key: bytes) -> tuple[bool, bytes | None]:
-        """Newest stored version of a key: files pruned by range, one per level from 1 on, then one filtered read."""
+    def _find(self, manifest: Manifest, key: bytes) -> tuple[int, int, bytes | None] | None:
+        """Newest stored (seq, op, value) of a key: files pruned by range, one per level from 1 on, then one filtered read."""
         candidates = [f for f in manifest.level(0) if f.contains(key)] + [f for n in range(1, manifest.num_levels) if (f := find_file(manifest.level(n), key))]
         self._counts["files_probed"] += len(candidates)
         self._counts["files_pruned"] += len(manifest.files) - len(candidates)
@@ -434,15 +473,32 @@ class Table:
                 self.cache.put(f.file_id, key, own, len(own[2] or b"") if own else 0)
                 if own and (best is None or own[0] > best[0]):
                     best = own
-        return (False, None) if best is None else (True, best[2])
+        return best
+
+    def _newest(self, manifest: Manifest, held: tuple[int, int, bytes | None] | None, key: bytes) -> tuple[bool, bytes | None]:
+        """The newer of a row in memory and what is stored; files are read only where they may hold a newer one."""
+        if held and held[0] > manifest.max_seq:
+            return True, held[2]
+        found = self._find(manifest, key)
+        return (True, held[2]) if held and (found is None or held[0] > found[0]) else (found is not None, found[2] if found else None)
 
     def get_entry(self, key: Any) -> tuple[bool, bytes | None]:
         wanted = to_bytes(key)
         with self._lock:
             self._check()
             self._counts["gets"] += 1
-            found, value = self._buffer.get_entry(wanted)
-            return (True, value) if found else self._find(self.manifest, wanted)
+            held = self._buffer.row(wanted) or (self._immutable.row(wanted) if self._immutable else None)
+            manifest = self.manifest
+            if held and held[0] > manifest.max_seq:
+                return True, held[2]
+            self._reading.update(manifest.file_ids)
+        try:
+            return self._newest(manifest, held, wanted)
+        finally:
+            with self._lock:
+                self._reading.subtract(manifest.file_ids)
+                self._reading += Counter()  # drops what is no longer read
+                self._collect()
 
     def get(self, key: Any) -> bytes | None:
         return self.get_entry(key)[1]
@@ -455,15 +511,21 @@ class Table:
         return self.get(key) is not None
 
     def get_many(self, probes: DataFrame) -> DataFrame:
-        """Live (key, value) of the keys of ``probes`` (key), by a semi-join before the merge."""
-        with self.snapshot() as snap:
-            rows, _ = snap.rows()
-            return scan.get_many(rows, probes.select(F.col("key").cast("binary").alias("key")))
+        """Live (key, value) of the keys of ``probes`` (key), by a semi-join before the merge; see :meth:`scan_frame`."""
+        snap = self.snapshot()
+        rows, _ = snap.rows()
+        return self._held(scan.get_many(rows, probes.select(F.col("key").cast("binary").alias("key"))), snap)
+
+    def _held(self, frame: DataFrame, snap: Snapshot) -> DataFrame:
+        """Keeps the files of a lazy frame pinned for as long as the frame object lives."""
+        weakref.finalize(frame, snap.close)
+        return frame
 
     def snapshot(self) -> Snapshot:
         with self._lock:
             self._check()
-            snap = Snapshot(self, self._next_snapshot, self.manifest, self._buffer.rows())
+            waiting = [r for r in self._immutable.rows() if r[0] not in self._buffer] if self._immutable else []
+            snap = Snapshot(self, self._next_snapshot, self.manifest, [*waiting, *self._buffer.rows()])
             self._snapshots[snap.snapshot_id] = snap
             self._next_snapshot += 1
             return snap
@@ -479,10 +541,14 @@ class Table:
         return (k for k, _ in cursor)
 
     def scan_frame(self, start: Any = None, end: Any = None) -> DataFrame:
-        """Live (key, value) as a DataFrame over the files of now; hold a snapshot where they must outlive compactions."""
+        """Live (key, value) as a DataFrame over the files of now, which stay while this frame object lives.
+
+        What is derived from it does not hold them: keep the frame, or a
+        snapshot, until that is computed.
+        """
         self._counts["scans"] += 1
-        with self.snapshot() as snap:
-            return snap.frame(start, end)
+        snap = self.snapshot()
+        return self._held(snap.frame(start, end), snap)
 
     def as_of(self, version: int) -> DataFrame:
         """Live (key, value) as an earlier manifest version had them; its files must still exist."""
@@ -495,19 +561,16 @@ class Table:
 
     def _run(self, task: planner.CompactionTask) -> None:
         rows = merge.compact(self._read(list(task.inputs)), task.drop_tombstones)
-        try:
-            added = self._store(rows, task.target_level, clustered=True, size_hint=task.input_bytes, keys=task.input_entries)
-        except Exception:
-            self.storage.delete(self.storage.at(DATA, f"run-{self.manifest.next_file_id:06d}"))
-            raise
-        self._commit(task.inputs, added)
-        self._counts["compactions"] += 1
-        self._counts["compacted_files"] += len(task.inputs)
-        self._retire(task.inputs)
+        added = self._store(rows, task.target_level, clustered=True, size_hint=task.input_bytes, keys=task.input_entries)
+        with self._lock:
+            self._commit(task.inputs, added)
+            self._counts["compactions"] += 1
+            self._counts["compacted_files"] += len(task.inputs)
+            self._retire(task.inputs)
 
     def compact(self) -> bool:
-        """One round, if one is due."""
-        with self._maintenance, self._lock:
+        """One round, if one is due.  Puts and gets go on meanwhile."""
+        with self._maintenance:
             self._check()
             task = planner.pick_task(self.manifest, self.l0_trigger, self.level_bytes, self.level_factor)
             if task:
@@ -522,8 +585,8 @@ class Table:
         return rounds
 
     def compact_all(self) -> int:
-        """Merges all stored files into the bottom level; returns their number.  The buffer stays."""
-        with self._maintenance, self._lock:
+        """Merges all stored files into the bottom level; returns their number.  The buffer stays, and takes puts meanwhile."""
+        with self._maintenance:
             self._check()
             task = planner.plan_full(self.manifest)
             if task:
@@ -539,7 +602,7 @@ class Table:
         self._collect()
 
     def _collect(self) -> None:
-        pinned = self.pinned_file_ids
+        pinned = self.pinned_file_ids | set(self._reading)
         for file_id, f in list(self._pending.items()):
             if file_id not in pinned:
                 self.cache.evict_file(file_id)
@@ -558,7 +621,7 @@ class Table:
             m, levels, cache = self.manifest, range(self.manifest.num_levels), self.cache.stats()
             return TableStats(
                 version=m.version, buffer_entries=len(self._buffer), buffer_tombstones=self._buffer.tombstones, buffer_bytes=self._buffer.size, buffer_capacity=self._buffer.capacity,
-                log_bytes=self._log.size if self._log else 0, file_count=len(m.files), stored_entries=sum(f.entry_count for f in m.files), stored_bytes=sum(f.size for f in m.files),
+                immutable_entries=len(self._immutable) if self._immutable else 0, log_rewrites=self._log.rewrites if self._log else 0, log_bytes=self._log.size if self._log else 0, file_count=len(m.files), stored_entries=sum(f.entry_count for f in m.files), stored_bytes=sum(f.size for f in m.files),
                 level_files=tuple(len(m.level(n)) for n in levels), level_entries=tuple(sum(f.entry_count for f in m.level(n)) for n in levels), level_bytes=tuple(m.level_bytes(n) for n in levels),
                 open_snapshots=len(self._snapshots), pinned_files=len(self.pinned_file_ids), pending_deletes=len(self._pending), recovered_records=len(self.recovery.records), recovery_truncated=self.recovery.truncated,
                 cache_hits=cache.hits, cache_misses=cache.misses, cache_usage=cache.usage, **self._counts,
@@ -576,8 +639,8 @@ class Table:
         return self.manifest.to_frame(self.spark)
 
     def close(self) -> None:
-        """Forces the log to disk and ends all snapshots; the buffer is not flushed.  Idempotent."""
-        with self._lock:
+        """Forces the log to disk and ends all snapshots, after maintenance that runs; the buffer is not flushed.  Idempotent."""
+        with self._maintenance, self._lock:
             if self.closed:
                 return
             for snap in list(self._snapshots.values()):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import random
+import threading
 
 import pytest
 
 from siltstone.errors import ClosedError, CorruptionError, InvalidArgumentError
+from siltstone.sources.log import read_log
 from siltstone.table import Table
 
 SMALL = {"buffer_capacity": 1024, "l0_trigger": 3, "level_bytes": 2048, "level_factor": 2}
@@ -198,3 +201,112 @@ def test_stream_into_a_table(spark, tmp_path):
     query = latest_stream(stream).writeStream.outputMode("complete").format("memory").queryName("newest").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.key, r.op) for r in spark.table("newest").collect()} == {("a", 2), ("b", 1)}
+
+
+def slow_store(table, monkeypatch):
+    """Makes writes of runs wait for the returned gate; ``inside`` is set when one waits."""
+    inside, gate, store = threading.Event(), threading.Event(), table._store
+
+    def wait(*args, **kwargs):
+        inside.set()
+        assert gate.wait(60)
+        return store(*args, **kwargs)
+
+    monkeypatch.setattr(table, "_store", wait)
+    return inside, gate
+
+
+def test_puts_gets_and_snapshots_go_on_during_a_flush(spark, tmp_path, monkeypatch):
+    table = Table.open(spark, str(tmp_path), auto_compact=False)
+    table.put_many({"a": "1", "b": "2"})
+    inside, gate = slow_store(table, monkeypatch)
+    flushing = threading.Thread(target=table.flush)
+    flushing.start()
+    assert inside.wait(60)
+    table.put("a", "3")
+    table.delete("b")
+    table.put("c", "4")
+    assert (table.get("a"), table.get("b"), table.get("c")) == (b"3", None, b"4")
+    assert table.stats().immutable_entries == 2 and table.stats().buffer_entries == 3
+    with table.snapshot() as snap:
+        gate.set()
+        flushing.join(60)
+        assert table.stats().immutable_entries == 0 and table.stats().file_count == 1
+        assert dict(snap.scan()) == dict(table.scan()) == {b"a": b"3", b"c": b"4"}
+        assert snap.get("a") == b"3" and snap.get_entry("b") == (True, None)
+    # the log holds what was put since the rotation, and only that
+    assert [r.key for r in read_log(table._log.path).records] == [b"a", b"b", b"c"]
+    table.close()
+    with Table.open(spark, str(tmp_path)) as again:
+        assert dict(again.scan()) == {b"a": b"3", b"c": b"4"}
+
+
+def test_puts_and_gets_go_on_during_a_compaction(spark, tmp_path, monkeypatch):
+    table = Table.open(spark, str(tmp_path), auto_compact=False)
+    for k in range(3):
+        table.put_many({"k": str(k), f"own{k}": "x"})
+        table.flush()
+    inside, gate = slow_store(table, monkeypatch)
+    compacting = threading.Thread(target=table.compact_all)
+    compacting.start()
+    assert inside.wait(60)
+    assert table.get("k") == b"2"
+    table.put("k", "new")
+    assert table.get("k") == b"new"
+    gate.set()
+    compacting.join(60)
+    assert table.stats().file_count == 1 and table.get("k") == b"new" and len(list(table.scan())) == 4
+    table.close()
+
+
+def test_a_failed_flush_keeps_its_rows_and_the_next_one_writes_them(spark, tmp_path, monkeypatch):
+    table = Table.open(spark, str(tmp_path), auto_compact=False)
+    table.put("a", "1")
+    monkeypatch.setattr(table, "_describe", lambda *_, **__: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table.flush()
+    monkeypatch.undo()
+    assert folders(tmp_path) == [] and table.stats().immutable_entries == 1 and table.get("a") == b"1"
+    table.put("b", "2")
+    assert table.flush() == 2 and table.stats().file_count == 2
+    assert dict(table.scan()) == {b"a": b"1", b"b": b"2"}
+    table.close()
+
+
+def test_a_batch_beats_older_puts_and_not_newer_ones(spark, tmp_path, monkeypatch):
+    table = Table.open(spark, str(tmp_path), auto_compact=False)
+    batch = spark.createDataFrame([("a", "batch"), ("b", "batch")], "key string, value string")
+    inside, gate = slow_store(table, monkeypatch)
+    writing = threading.Thread(target=table.upsert, args=(batch,))
+    writing.start()
+    assert inside.wait(60)
+    table.put("b", "later")
+    gate.set()
+    writing.join(60)
+    assert table.get("a") == b"batch" and table.get("b") == b"later"
+    assert dict(table.scan()) == {b"a": b"batch", b"b": b"later"}
+    table.close()
+
+
+def test_a_replayed_batch_is_skipped(spark, tmp_path):
+    batch = spark.createDataFrame([("a", "batch")], "key string, value string")
+    with Table.open(spark, str(tmp_path)) as table:
+        assert table.upsert(batch, batch_id=("stream", 0)) == 1
+        table.put("a", "since")
+        assert table.upsert(batch, batch_id=("stream", 0)) == 0 and table.get("a") == b"since"
+        assert table.upsert(batch, batch_id=("other", 0)) == 1
+    with Table.open(spark, str(tmp_path)) as table:
+        assert table.upsert(batch, batch_id=("stream", 0)) == 0 and table.upsert(batch, batch_id=("stream", 1)) == 1
+
+
+def test_files_of_a_lazy_frame_outlive_a_compaction(spark, tmp_path):
+    with Table.open(spark, str(tmp_path), auto_compact=False) as table:
+        for k in range(2):
+            table.put_many({"k": str(k), f"own{k}": "x"})
+            table.flush()
+        frame = table.scan_frame()
+        table.compact_all()
+        assert {bytes(r.key) for r in frame.collect()} == {b"k", b"own0", b"own1"} and len(folders(tmp_path)) == 3
+        del frame
+        gc.collect()
+        assert len(folders(tmp_path)) == 1
