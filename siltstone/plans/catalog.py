@@ -429,3 +429,9 @@ def _(spark, sf_dir, rows):
             table.upsert(part.select(F.col("key").cast("binary").alias("key"), "op", F.col("value").cast("binary").alias("value"), "seq"), order_by="seq")
         table.compact_all()
         return table.scan_frame().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+from siltstone.plans import stateful  # noqa: E402
+
+QUERIES |= stateful.QUERIES
+ORACLE_SQL |= stateful.ORACLE_SQL
