@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.shared import scratch
 
+#: Bytes of a batch of rows between the JVM and a worker, for tables that are staged.
+BATCH_BYTES = str(4 << 20)
 _live: list[tuple[SparkSession, str]] = []
 
 
@@ -35,6 +37,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is written: Arrow batches of at most :data:`BATCH_BYTES`, which bounds what they take beside the heaps of JVM and workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Workspace:
     """A private folder below the shared one, for the intermediate tables of one call."""
 
@@ -46,7 +60,8 @@ class Workspace:
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` as Parquet and returns the table read back; the plan starts anew there."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with _small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -67,17 +82,23 @@ def release_memory() -> None:
         trim(0)
 
 
-def few(batches: Iterator[pa.RecordBatch], rows: int = 256, mb: int = 16) -> Iterator[pa.RecordBatch]:
-    """Batches in pieces of a few rows, so that what is made of a piece stays small beside the batch; freed memory goes back now and then.
+_used = [0]
+
+
+def used(size: int, mb: int = 16) -> None:
+    """Counts bytes that this process worked on, and gives freed memory back once in ``mb`` of them.
 
     A worker lives on for later tasks, so what its heap keeps would add up beside the executor's.
     """
-    held = 0
+    _used[0] += size
+    if _used[0] >= mb << 20:
+        _used[0] = 0
+        release_memory()
+
+
+def few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of a few rows, so that what is made of a piece stays small beside the batch."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-        held += batch.nbytes
-        if held > mb << 20:
-            held = 0
-            release_memory()
-    release_memory()
+        used(batch.nbytes)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm._labelled import labelled_sample, term_table, terms
-from siltstone.llm._runtime import Workspace, release_memory
+from siltstone.llm._runtime import Workspace, used
 
 #: Labelled rows fitted on, at most, and terms that are features: the bounds of what reaches the driver.
 SAMPLE_ROWS, MAX_TERMS = 3000, 400
@@ -104,7 +104,7 @@ def memberships(docs: DataFrame, model: DomainModel, text_col: str) -> DataFrame
             words = terms(text)
             tokens.append(len(words))
             posterior.append(model.posterior(model.features(words)))
-        release_memory()
+        used(sum(len(t) for t in texts if t is not None))
         return pd.DataFrame({"tokens": tokens, "posterior": posterior})
 
     return docs.select(F.struct(*docs.columns).alias("row"), member(F.col(text_col).cast("binary")).alias("m")).select("row.*", "m.tokens", "m.posterior")

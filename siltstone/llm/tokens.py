@@ -23,20 +23,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from siltstone.llm._runtime import release_memory
+from siltstone.llm._runtime import used
 
 _PIECE = re.compile(r"[ \n\t\r]*(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?=[.,;:!? \n\t\r])|[^ \n\t\r]+)|[ \n\t\r]+")
 #: White space beyond the usual four, and controls that some libraries count as such.
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2060\u3000\ufeff]")
 #: Longer pieces are encoded but not kept.
 PIECE_CHARS = 48
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 600_000
 #: Bytes of text encoded at a time; a longer text is encoded alone.
 SLICE_BYTES = 4 << 20
 #: New words encoded in one call.
 WORDS_A_CALL = 512
-#: Bytes of text after which freed memory goes back to the system.
-TRIM_BYTES = 12 << 20
+#: MB of text after which freed memory goes back to the system.
+TRIM_MB = 12
 
 
 def tokenizer_path(name: str) -> str:
@@ -62,7 +62,7 @@ class Encoder:
         self.ends_word = np.array([t.endswith(suffix) for t in names]) if suffix else None
         self.n_bytes = np.array([len(t) for t in names])  # a character of a byte-level vocabulary is a byte
         self.memo: dict[str, bytes] = {}
-        self.memo_entries, self.since_trim = memo_entries, 0
+        self.memo_entries = memo_entries
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -113,18 +113,11 @@ class Encoder:
                 del memo[p]
         return found
 
-    def _trim(self, chars: int) -> None:
-        """Gives freed memory back now and then: what many short strings leave behind is more than the memo itself."""
-        self.since_trim += chars
-        if self.since_trim >= TRIM_BYTES:
-            self.since_trim = 0
-            release_memory()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Pieces of all texts are cut and made distinct column-wise; each distinct one is looked up once."""
         if not texts:
             return []
-        self._trim(sum(map(len, texts)))
+        used(sum(map(len, texts)), TRIM_MB)
         held = {k for k, t in enumerate(texts) if self.lead in t and self.added.search(t)} if self.added else set()
         regular = [True] * len(texts) if not held and _regular(texts) else [k not in held and _regular([t]) for k, t in enumerate(texts)]
         whole = [k for k, ok in enumerate(regular) if not ok and (k in held or _UNUSUAL.search(texts[k]))]

@@ -27,12 +27,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm._labelled import labelled_sample, terms, word_features
-from siltstone.llm._runtime import Workspace, few, release_memory
+from siltstone.llm._runtime import Workspace, few, used
 from siltstone.llm.simhash import bands, shingle_set, sketch, sketch_bits
 
 #: Labelled rows fitted on, at most: the bound of what reaches the driver.
@@ -272,14 +273,11 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
     schema_names = ["p_above_0", "p_above_1", "expected_severity", "grade", "toxic"]
 
     @F.pandas_udf("p_above_0 double, p_above_1 double")
-    def above(texts):
-        import pandas as pd
-
+    def above(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = model.scorer()
-        found = pd.DataFrame([score(t) for t in texts], columns=["p_above_0", "p_above_1"])
-        score = None
-        release_memory()
-        return found
+        for texts in batches:
+            yield pd.DataFrame([score(t) for t in texts], columns=["p_above_0", "p_above_1"])
+            used(sum(len(t) for t in texts if t is not None))
 
     kept = [c for c in docs.columns if c not in schema_names]
     rows = docs.select(F.struct(*kept).alias("row"), above(F.col(text_col).cast("binary")).alias("p"))
