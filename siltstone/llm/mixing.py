@@ -5,8 +5,9 @@ domains.  Document rates r >= floor are fitted so that the expected domain
 token totals A r, A[d, i] = tokens[i] * posterior[i, d], match targets b:
 projected gradient on the least squares |M^-1/2 (A r - b)|^2 with
 M = sum_i tokens[i] p_i p_i', in which a document's step is p_i . M^-1 (A r - b).
-The sum goes over documents whose rate may still fall, as long as that lowers
-the residual, then over all.  Each step is one aggregation to a few numbers.
+The sum in M goes over documents above the floor as long as that lowers the
+residual fast, then over all, with momentum that starts anew where it
+overshoots.  Each step is one aggregation to a few numbers.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from siltstone.llm._runtime import Workspace, used
 
 #: Labelled rows fitted on, at most, and terms that are features: the bounds of what reaches the driver.
 SAMPLE_ROWS, MAX_TERMS = 3000, 400
-#: Steps at most, relative residual at which they end, and fall of it below which they end.
-MAX_STEPS, TOLERANCE, LEAST_GAIN = 25, 1e-7, 1e-4
+#: Steps at most, and relative residual, or fall of it in a step, at which they end.
+MAX_STEPS, TOLERANCE = 60, 1e-7
+#: Momentum of a step, and what it takes off a rate a unit of posterior.
+Step = tuple[float, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -110,48 +113,95 @@ def memberships(docs: DataFrame, model: DomainModel, text_col: str) -> DataFrame
     return docs.select(F.struct(*docs.columns).alias("row"), member(F.col(text_col).cast("binary")).alias("m")).select("row.*", "m.tokens", "m.posterior")
 
 
+def replay(posterior: np.ndarray, first: float, floor: float, steps: list[Step]) -> np.ndarray:
+    """Rates of documents (rows of ``posterior``) after the steps (momentum, move), from ``first`` on."""
+    rate = before = np.full(len(posterior), first)
+    for momentum, move in steps:
+        ahead = rate + momentum * (rate - before)
+        before, rate = rate, np.maximum(floor, ahead - posterior @ move)
+    return rate
+
+
+def _sums(rows: DataFrame, d: int, first: float, floor: float, steps: list[Step]) -> tuple[np.ndarray, np.ndarray]:
+    """A r, and M over the documents whose rate is above the floor: d and d * d numbers a partition, added up."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(d + d * d)
+        for batch in batches:
+            if batch.num_rows:
+                tokens = batch.column(0).to_numpy().astype(np.float64)
+                p = batch.column(1).flatten().to_numpy().reshape(-1, d)
+                rate = replay(p, first, floor, steps)
+                total[:d] += (tokens * rate) @ p
+                total[d:] += ((p * (tokens * (rate > floor))[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+
+    part = rows.select("tokens", "posterior").mapInArrow(each, "s array<double>")
+    row = np.array(part.agg(*[F.coalesce(F.sum(F.col("s")[k]), F.lit(0.0)) for k in range(d + d * d)]).first())
+    return row[:d], row[d:].reshape(d, d)
+
+
 def fit_rates(rows: DataFrame, targets: list[float], total: float | None = None, floor: float = 0.0, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
-    """Rates as an expression over ``tokens`` and ``posterior``, and the falling relative residuals on the way.
+    """Rates as a column over ``posterior``, and the falling relative residuals (in the metric M^-1) on the way.
 
     ``targets``: the share of each domain.  ``total``: tokens of the mix; None
     stands for those of the rows, or, with a positive floor, for the least
     mix that matches the targets with every rate at the floor or above.
+
+    The state is the list of steps, d numbers each, that a worker replays on
+    its rows; so no plan grows, and a step is one pass over narrow rows.  It
+    ends where the residual is below ``tolerance``, or where two steps on end
+    lower it by less than that share of itself.
     """
     d = len(targets)
+    tokens = F.col("tokens").cast("double")
     p = [F.element_at("posterior", k + 1) for k in range(d)]
-    weighted = F.col("tokens").cast("double")
-    sums = rows.agg(F.coalesce(F.sum(weighted), F.lit(0.0)), *[F.coalesce(F.sum(weighted * a), F.lit(0.0)) for a in p], *[F.coalesce(F.sum(weighted * a * b), F.lit(0.0)) for a in p for b in p]).first()
-    have, per = sums[0], np.array(sums[1 : d + 1])
+    sums = rows.agg(*[F.coalesce(F.sum(tokens * a), F.lit(0.0)) for a in p], *[F.coalesce(F.sum(tokens * a * b), F.lit(0.0)) for a in p for b in p]).first()
+    per, have = np.array(sums[:d]), float(sum(sums[:d]))
     ridge = np.eye(d) * 1e-9 * max(have, 1.0)
-    every = np.array(sums[d + 1 :]).reshape(d, d)
+    metric = np.linalg.pinv(np.array(sums[d:]).reshape(d, d) + ridge)
     share = np.array(targets, dtype=float) / sum(targets)
     if total is None:
         total = have if floor <= 0 else floor * max([have, *(per[k] / share[k] for k in range(d) if share[k] > 0)])
     goal = share * total
-    rate, residuals = F.lit(max(floor, total / have if have else 1.0)), []
-    best, free_metric = (float("inf"), rate, np.zeros(d), every), True
+    first = float(max(floor, total / have if have else 1.0))
+    scale = max(float(goal @ metric @ goal), 1e-300)
+
+    def loss(mix: np.ndarray) -> float:
+        return float((mix - goal) @ metric @ (mix - goal)) / scale
+
+    steps: list[Step] = []
+    mix = before = per * first
+    residuals, t, newton, slow = [loss(mix) ** 0.5], 1.0, True, 0
+    free = np.linalg.pinv(np.array(sums[d:]).reshape(d, d) * (first > floor) + ridge)
     for _ in range(max_steps if have else 0):
-        # the rate is a column of its own, so that its growing expression stands in the plan once
-        with_rate = rows.select("tokens", "posterior", rate.alias("_rate"))
-        above = F.when(F.col("_rate") > floor, weighted).otherwise(0.0)
-        row = with_rate.agg(*[F.sum(weighted * a * F.col("_rate")) for a in p], *[F.sum(above * a * b) for a in p for b in p]).first()
-        off = np.array(row[:d]) - goal
-        residual = float(np.linalg.norm(off) / max(np.linalg.norm(goal), 1e-12))
-        if residual < best[0]:
-            done = best[0] - residual < LEAST_GAIN
-            best = (residual, rate, off, np.array(row[d:]).reshape(d, d))
-            residuals.append(residual)
-            if residual < tolerance or done:
+        if residuals[-1] < tolerance or slow == 2:
+            break
+        grown = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        momentum = 0.0 if newton else (t - 1) / grown
+        off = mix + momentum * (mix - before) - goal
+        trial = [*steps, (momentum, (free if newton else metric) @ off)]
+        found, above = _sums(rows, d, first, floor, trial)
+        fallen = loss(found) ** 0.5
+        if newton and fallen > 0.7 * residuals[-1]:
+            newton = False  # from here on in the metric of all rows, with momentum
+        elif fallen > residuals[-1]:
+            if momentum == 0.0:
                 break
-        elif free_metric:  # back to the best rates, and on with the metric of all rows
-            free_metric = False
+            t = 1.0  # the momentum overshot: a plain step instead
         else:
-            break
-        _, rate, off, free = best
-        y = np.linalg.pinv((free if free_metric else every) + ridge) @ off
-        move = sum((a * F.lit(float(v)) for a, v in zip(p, y, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(float(floor)), rate - move)
-    return best[1] if residuals else rate, residuals
+            slow = slow + 1 if not newton and residuals[-1] - fallen < tolerance * residuals[-1] else 0
+            steps, before, mix, t = trial, mix, found, t if newton else grown
+            free = np.linalg.pinv(above + ridge)
+            residuals.append(fallen)
+
+    @F.pandas_udf("double")
+    def rate(posterior):
+        import pandas as pd
+
+        return pd.Series(replay(np.stack(posterior.to_list()) if len(posterior) else np.zeros((0, d)), first, floor, steps))
+
+    return rate(F.col("posterior")), residuals
 
 
 def mix(
