@@ -139,7 +139,9 @@ def simhash_components(
     )
 
 
-#: Bands of BAND_ROWS MinHash values in which near duplicates are looked for: a pair of Jaccard similarity 0.8 shares one but for 3e-6.
+#: Differing bits of fingerprints up to which sets are candidates for near duplicates.
+PRINT_BITS = 3
+#: Bands of BAND_ROWS MinHash values in which near duplicates with more differing bits are looked for: a pair of Jaccard similarity 0.8 shares one but for 3e-6.
 BANDS, BAND_ROWS = 32, 5
 #: Words of the sketch that rules pairs out before their sets are compared, and size below which a set counts as small for it.
 SKETCH_WORDS, SMALL_SET = 4, 64
@@ -203,27 +205,32 @@ def similar_sets(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(both) - common) - 1e-9
 
 
+def set_print(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set, signed; 0 for an empty set."""
+    return int(majority(hashes.view(np.uint8).reshape(-1, 8)).view("<i8")[0]) if len(hashes) else 0
+
+
 def near_classes(docs: DataFrame, key: list, text_col: str, width: int) -> DataFrame:
-    """(c1, c2, first, size, bands, sketch words) of each distinct shingle set; ``first`` is the least ``key`` with it."""
-    schema = "_k long, _t1 long, _t2 long, c1 long, c2 long, size int, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
-    names = ["_k", "_t1", "_t2", "c1", "c2", "size", "bands", *_SKETCH]
+    """(c1, c2, first, size, bands, fp, sketch words) of each distinct shingle set; ``first`` is the least ``key`` with it."""
+    schema = "_k long, _t1 long, _t2 long, c1 long, c2 long, size int, bands array<long>, fp long, " + ", ".join(f"{c} long" for c in _SKETCH)
+    names = ["_k", "_t1", "_t2", "c1", "c2", "size", "bands", "fp", *_SKETCH]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
             whole, sizes, keys = np.empty((batch.num_rows, 2), np.int64), np.empty(batch.num_rows, np.int32), []
-            found = np.empty((batch.num_rows, SKETCH_WORDS), np.int64)
+            found, prints = np.empty((batch.num_rows, SKETCH_WORDS), np.int64), np.empty(batch.num_rows, np.int64)
             for k, x in enumerate(batch.column(3)):
                 hashes = shingle_set(x.as_py(), width)
                 whole[k] = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), dtype=np.int64)
-                sizes[k], found[k] = len(hashes), sketch(hashes)
+                sizes[k], found[k], prints[k] = len(hashes), sketch(hashes), set_print(hashes)
                 keys.append(bands(hashes))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), *(pa.array(found[:, k]) for k in range(SKETCH_WORDS))], names
+                [*batch.columns[:3], pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(prints), *(pa.array(found[:, k]) for k in range(SKETCH_WORDS))], names
             )
 
     prints = docs.select(*key, F.col(text_col).cast("binary").alias("text")).mapInArrow(each, schema)
     first = F.min(F.struct("_k", "_t1", "_t2")).alias("first")
-    return prints.groupBy("c1", "c2").agg(first, *[F.first(c).alias(c) for c in ("size", "bands", *_SKETCH)])
+    return prints.groupBy("c1", "c2").agg(first, *[F.first(c).alias(c) for c in ("size", "bands", "fp", *_SKETCH)])
 
 
 def _maybe(table: pa.Table, similarity: float):
@@ -257,6 +264,17 @@ def near_links(classes: DataFrame, similarity: float, block: int = BLOCK) -> Dat
     return together(rows, "key").mapInArrow(links, "a long, b long").distinct()
 
 
+def print_links(classes: DataFrame, prints: DataFrame, max_bits: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of ids of ``classes`` that keep together what has fingerprints within ``max_bits`` bits.
+
+    ``prints`` is (fp, first): each fingerprint of ``classes`` once, with the least id that has it.
+    """
+    same = classes.select("id", "fp").join(prints, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    ends = [prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_id")) for c in ("a", "b")]
+    near = fingerprint_links(prints, max_bits, block).join(ends[0], "a").join(ends[1], "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return same.unionByName(near)
+
+
 def exact_links(members: DataFrame, sets: DataFrame, similarity: float, block: int = SET_BLOCK) -> DataFrame:
     """Links (a, b) that span, in each ``component`` of ``members``, all pairs of sets of ``similarity`` or more.
 
@@ -298,8 +316,11 @@ def shingle_sets(docs: DataFrame, key: list, text_col: str, width: int, members:
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the least id.
 
-    Candidates share a band of MinHash values of their sets of ``width``-word
-    shingles and are not ruled out by sizes or sketches.  In each component
+    Candidates are found twice.  SimHash: fingerprints of the sets of
+    ``width``-word shingles, deletion variants of their two segments, equality
+    join, and :data:`PRINT_BITS` or fewer differing bits.  As many pairs of
+    the similarity asked for differ in more bits, those that share a band of
+    MinHash values and are not ruled out by sizes or sketches join them.  In each component
     of candidates the sets of every pair not ruled out are compared; a link is a pair with a
     Jaccard similarity of ``similarity`` or more.  Groups are components of
     links.  Repeated rows, and texts equal but for case and white space, are
@@ -312,7 +333,9 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int =
     key = [least, F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(1), text).alias("_t2")]
     classes = work.stage(near_classes(docs, key, text_col, width), "classes")
     classes = work.stage(classes.withColumn("id", F.monotonically_increasing_id()), "numbered")
-    maybe = work.stage(near_links(classes, similarity, block), "candidates")
+    prints = work.stage(classes.groupBy("fp").agg(F.min("id").alias("first")), "prints")
+    near = work.stage(print_links(classes, prints, PRINT_BITS, block), "near")
+    maybe = work.stage(near_links(classes, similarity, block).unionByName(near).distinct(), "candidates")
     groups = connected_components(maybe, work, "groups").withColumnRenamed("node", "id")
     members = work.stage(classes.join(groups, "id").select("first.*", "id", "component", "size", *_SKETCH), "members")
     sets = work.stage(shingle_sets(docs, key, text_col, width, members.drop("component")), "sets")

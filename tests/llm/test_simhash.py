@@ -152,3 +152,19 @@ def test_links_equal_brute_force(spark, block):
     assert all(simhash.similar_sets(sets[a], sets[b], 0.8) == (s >= 0.8) for (a, b), s in share.items() if s > 0.5)
     roots = brute([p for p, s in share.items() if s >= 0.8])
     assert kept == {k for k in range(len(texts)) if roots[k] == k}
+
+
+def test_fingerprints_give_candidates_without_bands(spark, monkeypatch):
+    """Near duplicates within three bits go by deletion variants and the exact check alone; similar fingerprints alone drop nothing."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = [list(rng.choice(vocabulary, 1500)) for _ in range(12)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:700], "changed", *w[701:]]) for w in base]
+    texts += [texts[0] + " " + texts[0], None, ""]
+    prints = [simhash.set_print(simhash.shingle_set((t or "").encode())) & (1 << 64) - 1 for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
+    assert len([p for p in links if p[0] - p[1] == 12]) > 6  # most of the near copies, no other but 0 and its double, null and empty
+    monkeypatch.setattr(simhash, "near_links", lambda classes, similarity, block: classes.select("id", "id").toDF("a", "b").limit(0))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    roots = brute([*links, *((k, k) for k in range(len(texts)))])
+    assert kept == {k for k in range(len(texts)) if roots[k] == k}
