@@ -28,6 +28,8 @@ from siltstone.llm._runtime import used
 _PIECE = re.compile(r"[ \n\t\r]*(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?=[.,;:!? \n\t\r])|[^ \n\t\r]+)|[ \n\t\r]+")
 #: White space beyond the usual four, and controls that some libraries count as such.
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2060\u3000\ufeff]")
+#: A space, letters and marks: what follows it in a text, if led by a space too, is split from it by a byte-level tokenizer.
+_LED = re.compile(r" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+[.,;:!?]*")
 #: Longer pieces are encoded but not kept.
 PIECE_CHARS = 48
 MEMO_ENTRIES = 600_000
@@ -68,7 +70,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that are a space and letters each, many to a call.
+        """Ids of pieces that are a space and letters each, in byte-level vocabularies marks too, many to a call.
 
         Where a vocabulary marks ends of words, those tokens tell where the
         ids of a piece end; else the bytes that tokens stand for do.
@@ -100,9 +102,9 @@ class Encoder:
         found = list(map(memo.get, pieces))
         gaps = [k for k, ids in enumerate(found) if ids is None]
         names = [pieces[k] for k in gaps]
-        plain = [p for p in names if p[:1] == " " and p[1:].isalpha()]
+        plain = [p for p in names if p[:1] == " " and p[1:].isalpha()] if self.ends_word is not None else [p for p in names if _LED.fullmatch(p)]
         done = set(plain)
-        other = [p for p in names if p not in done]
+        other = [p for p in names if p not in done] if len(done) < len(names) else []
         fresh = dict(zip(plain, self._words(plain), strict=True))
         fresh.update(zip(other, self._library(other), strict=True))
         for k, p in zip(gaps, names, strict=True):
@@ -131,7 +133,7 @@ class Encoder:
         pieces.append(pa.array([_PIECE.findall(texts[k]) for k in rest], pa.list_(pa.string())))
         lists = pa.concat_arrays(pieces)
         named = lists.flatten().dictionary_encode()
-        ids = self._lookup(named.dictionary.to_pylist())
+        ids = self._lookup(strings(named.dictionary))
         index = named.indices.to_numpy()
         raw = pa.array(ids, pa.large_binary()).take(named.indices).buffers()[2]
         raw = raw.to_pybytes() if raw is not None else b""
@@ -142,6 +144,15 @@ class Encoder:
         return [out[k] for k in range(len(texts))]
 
 
+def strings(values: pa.Array) -> list[str]:
+    """The strings of a column without nulls: split from one string, which takes a fraction of making them one by one."""
+    if not len(values):
+        return []
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), "\x01")
+    found = joined[0].as_py().split("\x01")
+    return found if len(found) == len(values) else values.to_pylist()  # some hold the mark themselves
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(first row, rows) of runs of a binary column of at most :data:`SLICE_BYTES` each."""
     at, held = 0, 0
@@ -154,6 +165,9 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield at, len(texts) - at
 
 
+#: Bytes with which a character of _UNUSUAL begins, by value.
+_SUSPECT = np.zeros(256, dtype=bool)
+_SUSPECT[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 #: ASCII letters and digits, by code.
 _PLAIN = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 
@@ -166,9 +180,11 @@ def _regular(texts: list[str]) -> bool:
     digits or the letters U+00C0 to U+024F.  Others are cut by a pattern.
     """
     joined = "\x01".join(texts)
-    if joined.count("\x01") != len(texts) - 1 or any(x in joined for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r")) or _UNUSUAL.search(joined):
+    if joined.count("\x01") != len(texts) - 1 or any(x in joined for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r")):
         return False
     raw = np.frombuffer(("\x01\x01" + joined).encode(), dtype=np.uint8)
+    if _SUSPECT[raw].any() and _UNUSUAL.search(joined):
+        return False
     marks = np.flatnonzero((raw == ord(".")) | (raw == ord(",")))
     last, lead = raw[marks - 1], raw[marks - 2]
     letter = (last >= 0x80) & (lead >= 0xC3) & (lead <= 0xC9) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))

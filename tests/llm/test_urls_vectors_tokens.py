@@ -266,3 +266,19 @@ def test_chunks_follow_content():
     one, two = hashes(tail), hashes(np.r_[rng.integers(0, 50_000, size=777).astype(np.uint32), tail])
     assert len(one & two) > 0.8 * len(one)
     assert token_store.merkle([b"a"]) == b"a" and token_store.merkle([b"a", b"b"]) != token_store.merkle([b"b", b"a"])
+
+
+def test_words_with_marks_go_many_to_a_call(monkeypatch):
+    """Rare words before marks are not encoded one by one; strings that hold the mark between pieces stay whole."""
+    import pyarrow as pa
+
+    from siltstone.llm import tokens
+
+    enc = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    text = "Start" + "".join(f" qz{a}x{b}{end}" for a in "abcdé" for b in "efghß" for end in ("!!", "?", ";", ""))
+    alone, library = [], enc._library
+    monkeypatch.setattr(enc, "_library", lambda pieces: alone.extend(pieces) or library(pieces))
+    want = np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert enc.encode([text]) == [want] and alone == ["Start"]
+    for values in ([], [""], ["a", "", "b"], ["a\x01b", "c"]):
+        assert tokens.strings(pa.array(values, pa.string())) == values
