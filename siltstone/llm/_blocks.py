@@ -22,7 +22,9 @@ def in_blocks(members: DataFrame, key: str, member: str, block: int) -> DataFram
     """Members of buckets with two or more, once per pair of blocks (b1 <= b2) they take part in; ``own`` is their block.
 
     Bucket sizes come from a partial aggregation; bucket and member are the
-    only columns shuffled for it.
+    only columns shuffled for it.  They are joined by merge, never by
+    broadcast: ``members`` often come from an explode, whose rows Spark counts
+    as those before it, so it takes millions of buckets for few.
     """
     sizes = members.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
     blocks = F.ceil(F.col("_n") / F.lit(float(block))).cast("int")
@@ -31,7 +33,7 @@ def in_blocks(members: DataFrame, key: str, member: str, block: int) -> DataFram
         F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, own).alias("b1"), F.greatest(j, own).alias("b2")))
     )
     return (
-        members.join(sizes, key)
+        members.join(sizes.hint("merge"), key)
         .withColumn("own", own)
         .withColumn("_pair", F.explode(pairs))
         .select(*members.columns, "own", F.col("_pair.b1").alias("b1"), F.col("_pair.b2").alias("b2"))

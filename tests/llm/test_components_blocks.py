@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm._blocks import in_blocks, spanning_links
 from siltstone.llm._components import connected_components
@@ -53,6 +54,14 @@ def test_every_pair_of_a_bucket_meets_in_one_unit_of_work(spark, block):
     assert sorted(pairs) == sorted((k, a, b) for k in range(3) for a in range(k, 40, 3) for b in range(a + 3, 40, 3))
 
 
+def test_bucket_sizes_are_not_broadcast(spark):
+    """Spark counts the rows of an explode as those before it, which is far below what they are."""
+    members = spark.range(500).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: k + F.col("id") % 100)).alias("key"))
+    found = in_blocks(members, "key", "id", 100)
+    assert found.count() >= 500 * 32
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spanning_links_keep_components():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 60, size=200)
