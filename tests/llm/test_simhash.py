@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from test_components_blocks import brute
 
 from siltstone.llm import simhash
@@ -74,6 +75,15 @@ def test_one_segment_differs_by_at_most_one_bit(spark, bits):
     assert all(len(keys[k, 0]) == 64 and keys[k, 0] & keys[k, 1] for k in range(len(pairs)))
 
 
+def test_variants_are_not_broadcast(spark):
+    """64 variants a fingerprint count as one row in Spark's estimate."""
+    prints = spark.range(300).select(F.expr("xxhash64(id div 3) ^ shiftleft(1L, cast(id % 3 AS int))").alias("fp"))
+    links = simhash.fingerprint_links(prints, 3)
+    roots = brute([(r.a, r.b) for r in links.collect()])
+    assert len(roots) == 300 and len(set(roots.values())) == 100
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates_by_five_words(spark):
     rng = np.random.default_rng(1)
     vocabulary = [f"w{k}" for k in range(3000)]
