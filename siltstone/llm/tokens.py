@@ -30,6 +30,8 @@ _PIECE = re.compile(r"[ \n\t\r]*(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?=[.,;
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2060\u3000\ufeff]")
 #: A space, letters and marks: what follows it in a text, if led by a space too, is split from it by a byte-level tokenizer.
 _LED = re.compile(r" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+[.,;:!?]*")
+#: A space, letters, ASCII marks or none but for the apostrophe: a byte-level tokenizer splits such a piece before the marks and nowhere else.
+_WORD = re.compile(r"( [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 #: Longer pieces are encoded but not kept.
 PIECE_CHARS = 48
 MEMO_ENTRIES = 600_000
@@ -47,6 +49,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_names() -> dict[int, str]:
+    """The letters of _WORD and the space as a byte-level vocabulary writes them: a character for each byte of UTF-8."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    names = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in (0x20, *range(0xC0, 0x250))}
+
+
+_BYTE_NAMES = _byte_names()
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as bytes of little-endian unsigned 32-bit numbers: those of the library without special tokens added."""
 
@@ -60,7 +72,10 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         tokens = {i: t for t, i in self.tokenizer.get_vocab().items()}
         names = [tokens.get(i, "") for i in range(max(tokens, default=-1) + 1)]
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        parts = json.loads(self.tokenizer.to_str())
+        suffix, split = parts["model"].get("end_of_word_suffix"), parts["pre_tokenizer"] or {}
+        #: Whether pieces of the form of _WORD go to the library's model as they are, without its splitting.
+        self.by_model = parts["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
         self.ends_word = np.array([t.endswith(suffix) for t in names]) if suffix else None
         self.n_bytes = np.array([len(t) for t in names])  # a character of a byte-level vocabulary is a byte
         self.memo: dict[str, bytes] = {}
@@ -94,6 +109,28 @@ class Encoder:
                 first = end
         return out
 
+    def _by_model(self, names: list[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of those pieces that have the form of _WORD, and the other pieces: the library's model encodes the word and the marks."""
+        tokenize, match, flat = self.tokenizer.model.tokenize, _WORD.fullmatch, array("I")
+        some, reach, other, marks = [], [0], [], {"": []}
+        for p in names:
+            found = match(p)
+            if found is None:
+                other.append(p)
+                continue
+            word, end = found.groups()
+            if not word.isascii():
+                word = word.translate(_BYTE_NAMES)
+            else:
+                word = "\u0120" + word[1:]
+            if end not in marks:
+                marks[end] = [t.id for t in tokenize(end)]
+            flat.extend([t.id for t in tokenize(word)] + marks[end])
+            some.append(p)
+            reach.append(len(flat) * 4)
+        raw = flat.tobytes()
+        return dict(zip(some, [raw[x:y] for x, y in zip(reach, reach[1:], strict=False)], strict=True)), other
+
     def _lookup(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces, from the memo or else the library."""
         memo = self.memo
@@ -102,10 +139,11 @@ class Encoder:
         found = list(map(memo.get, pieces))
         gaps = [k for k, ids in enumerate(found) if ids is None]
         names = [pieces[k] for k in gaps]
-        plain = [p for p in names if p[:1] == " " and p[1:].isalpha()] if self.ends_word is not None else [p for p in names if _LED.fullmatch(p)]
+        fresh, left = self._by_model(names) if self.by_model else ({}, names)
+        plain = [p for p in left if p[:1] == " " and p[1:].isalpha()] if self.ends_word is not None else [p for p in left if _LED.fullmatch(p)]
         done = set(plain)
-        other = [p for p in names if p not in done] if len(done) < len(names) else []
-        fresh = dict(zip(plain, self._words(plain), strict=True))
+        other = [p for p in left if p not in done] if len(done) < len(left) else []
+        fresh.update(zip(plain, self._words(plain), strict=True))
         fresh.update(zip(other, self._library(other), strict=True))
         for k, p in zip(gaps, names, strict=True):
             found[k] = fresh[p]
@@ -165,9 +203,13 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield at, len(texts) - at
 
 
-#: Bytes with which a character of _UNUSUAL begins, by value.
-_SUSPECT = np.zeros(256, dtype=bool)
-_SUSPECT[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+#: What a byte may be, as bits: a space or line end, a tab or return, the first of a character of _UNUSUAL, a full stop or comma.
+_BREAK, _OTHER_WHITE, _SUSPECT, _MARK = 1, 2, 4, 8
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[[0x20, 0x0A]] = _BREAK
+_KINDS[[0x09, 0x0D]] = _OTHER_WHITE
+_KINDS[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = _SUSPECT
+_KINDS[[ord("."), ord(",")]] = _MARK
 #: ASCII letters and digits, by code.
 _PLAIN = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 
@@ -180,12 +222,14 @@ def _regular(texts: list[str]) -> bool:
     digits or the letters U+00C0 to U+024F.  Others are cut by a pattern.
     """
     joined = "\x01".join(texts)
-    if joined.count("\x01") != len(texts) - 1 or any(x in joined for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r")):
+    if joined.count("\x01") != len(texts) - 1:
         return False
     raw = np.frombuffer(("\x01\x01" + joined).encode(), dtype=np.uint8)
-    if _SUSPECT[raw].any() and _UNUSUAL.search(joined):
+    kinds = _KINDS[raw]
+    found = np.bitwise_or.reduce(kinds)
+    if found & _OTHER_WHITE or (kinds[1:] & kinds[:-1] & _BREAK).any() or found & _SUSPECT and _UNUSUAL.search(joined):
         return False
-    marks = np.flatnonzero((raw == ord(".")) | (raw == ord(",")))
+    marks = np.flatnonzero(kinds == _MARK)
     last, lead = raw[marks - 1], raw[marks - 2]
     letter = (last >= 0x80) & (lead >= 0xC3) & (lead <= 0xC9) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
     return bool((_PLAIN[last] | letter).all())
