@@ -124,17 +124,18 @@ def simhash_components(
     fingerprint zero, linked like any other.  Repeated rows and repeated ids
     give one row each.  A null id keeps its fingerprint and never counts as
     the least; a group of null ids alone has a null component.  Other columns
-    are not read.
+    are not read.  Tables that grow with the rows are joined by merge, never
+    by broadcast, whatever size Spark takes them for.
     """
     work = Workspace(docs.sparkSession, "simhash")
     prints = work.stage(fingerprints(docs, id_col, text_col, width), "prints")
     classes = work.stage(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     links = work.stage(fingerprint_links(classes, max_bits, block), "links")
     roots = connected_components(links, work).withColumnRenamed("node", "fp")
-    joined = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    joined = classes.join(roots.hint("merge"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = work.stage(joined.join(least, "root").select("fp", "component_id"), "groups")
-    return prints.join(groups, "fp").select(
+    groups = work.stage(joined.join(least.hint("merge"), "root").select("fp", "component_id"), "groups")
+    return prints.join(groups.hint("merge"), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

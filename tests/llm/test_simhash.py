@@ -6,7 +6,8 @@ import xxhash
 from pyspark.sql import functions as F
 from test_components_blocks import brute
 
-from siltstone.llm import simhash
+from siltstone.llm import _components, simhash
+from siltstone.llm._runtime import Workspace
 
 SCHEMA = "doc_id long, text string, fp string"
 
@@ -84,6 +85,27 @@ def test_variants_are_not_broadcast(spark):
     assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
 
 
+def test_no_step_broadcasts(spark, monkeypatch):
+    """Final plans of all steps, which adaptive execution may have turned to broadcasts."""
+    plans, stage = [], Workspace.stage
+
+    def run(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    def recorded(self, df, name):
+        run(df)
+        return stage(self, df, name)
+
+    monkeypatch.setattr(Workspace, "stage", recorded)
+    monkeypatch.setattr(_components, "FEW_EDGES", 0, raising=False)
+    rows = documents()
+    got = run(simhash.simhash_components(spark.createDataFrame(rows, SCHEMA)))
+    assert len(got) == len(rows) and len({r.component_id for r in got}) < len({r.fingerprint for r in got})
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_near_duplicates_by_five_words(spark):
     rng = np.random.default_rng(1)
     vocabulary = [f"w{k}" for k in range(3000)]
